@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from datetime import datetime
 
 from pyspark.sql import Column
@@ -32,18 +31,10 @@ def as_bigint(col: Column) -> Column:
     return col.cast("bigint")
 
 
-def count_when(cond: Column) -> Column:
-    return F.count_if(cond)
+#: Characters ``strip`` removes at both ends.
+BLANKS = " \t\n\r\x0b\x0c"
 
 
-def pick(col: Column, table: dict[str, str], default: str) -> Column:
-    """Literal lookup table as nested CASE (fixed, small tables only)."""
-    out: Column | None = None
-    for key, value in table.items():
-        out = F.when(col == key, value) if out is None else out.when(col == key, value)
-    assert out is not None
-    return out.otherwise(default)
-
-
-def quoted_sql(text: str) -> str:
-    return "'" + re.sub("'", "''", text) + "'"
+def strip(col: Column) -> Column:
+    """Remove all surrounding white space, not only spaces."""
+    return F.btrim(col, F.lit(BLANKS))

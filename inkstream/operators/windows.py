@@ -466,10 +466,9 @@ def train_validation_split(
     Groups under ``min_samples`` rows are marked ``insufficient``.
     """
     ranked = number_rows(df, keys, order, "_i")
-    cut = F.floor(F.col("_i_total") * F.lit(train_share))
     split = (
         F.when(F.col("_i_total") < min_samples, "insufficient")
-        .when(F.col("_i") <= cut, "train")
+        .when(F.col("_i") - 1 < F.col("_i_total") * F.lit(train_share), "train")
         .otherwise("validation")
     )
     return ranked.select(*df.columns, split.alias("split"))

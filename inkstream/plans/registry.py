@@ -6,7 +6,7 @@ the same tables and must give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +29,13 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+def rounded(df: DataFrame, digits: Mapping[str, int], default: int) -> DataFrame:
     """Round every floating-point column, so that summation order does not show."""
     return df.select(
         *[
-            F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
+            F.round(f.name, digits.get(f.name, default)).alias(f.name)
+            if isinstance(f.dataType, (DoubleType, FloatType))
+            else F.col(f.name)
             for f in df.schema.fields
         ]
     )
@@ -52,7 +54,7 @@ def with_views(sql: str, views: Iterable[str], digits: dict[str, int]) -> str:
 
     for name in views:
         add(name)
-    ctes = [f"{n} AS ({VIEWS[n][1]})" for n in names]
+    ctes = [f"{n} AS ({VIEWS[n][1]})" for n in names]  # a view may have its own WITH
     body = sql.strip()
     if body.upper().startswith("WITH "):
         body = body[5:]
@@ -73,17 +75,22 @@ def query(
 ) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
     """Register a query.  ``floats`` are the columns both sides round to ``digits``.
 
-    SQL with common table expressions ends them with a line ``---``.
+    An entry ``"col:2"`` rounds that column to its own number of digits.  SQL with common
+    table expressions ends them with a line ``---``.
     """
+    places = {}
+    for entry in floats:
+        col, _, own = entry.partition(":")
+        places[col] = int(own) if own else digits
 
     def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return rounded(build(Tables(spark, folder)), digits)
+            return rounded(build(Tables(spark, folder)), places, digits)
 
-        text = with_views(sql, views, {c: digits for c in floats}) if sql else None
+        text = with_views(sql, views, places) if sql else None
         REGISTRY[name] = Query(name, run, text)
         return build
 

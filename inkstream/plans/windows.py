@@ -38,7 +38,7 @@ FROM doc_events GROUP BY 1""",
     EV,
     floats=(
         "avg_processing_duration", "max_processing_duration", "min_processing_duration",
-        "avg_confidence", "avg_file_size", "success_rate",
+        "avg_confidence", "avg_file_size:4", "success_rate",
     ),
 )
 def _(t: Tables):
@@ -378,8 +378,8 @@ def _(t: Tables):
 
 @query(
     "train_validation_split",
-    """SELECT doc_id, lang, source, CASE WHEN row_number() OVER (PARTITION BY lang, source ORDER BY doc_id)
-  <= floor(count(*) OVER (PARTITION BY lang, source) * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'validation' END AS split
+    """SELECT doc_id, lang, source, CASE WHEN row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1
+  < count(*) OVER (PARTITION BY lang, source) * CAST(0.8 AS DOUBLE) THEN 'train' ELSE 'validation' END AS split
 FROM documents""",
 )
 def _(t: Tables):
@@ -412,15 +412,16 @@ def _(t: Tables):
 
 @query(
     "running_mean",
-    """SELECT document_type, document_id, event_time, avg(processing_duration) OVER w AS mean_processing_duration,
-  avg(confidence) OVER w AS mean_confidence FROM doc_events
+    """SELECT document_type, document_id, event_time, avg(ln(processing_duration)) OVER w AS mean_log_duration,
+  avg(ln(confidence)) OVER w AS mean_log_confidence FROM doc_events
 WINDOW w AS (PARTITION BY document_type ORDER BY event_time, document_id ROWS UNBOUNDED PRECEDING)""",
     EV,
-    floats=("mean_processing_duration", "mean_confidence"),
+    floats=("mean_log_duration", "mean_log_confidence"),
 )
 def _(t: Tables):
-    cols = ["document_type", "document_id", "event_time", "processing_duration", "confidence"]
-    out = W.running_mean(
-        t.doc_events().select(*cols), ["document_type"], ["event_time", "document_id"], cols[3:]
+    logs = {"log_duration": F.ln("processing_duration"), "log_confidence": F.ln("confidence")}
+    rows = t.doc_events().select(
+        "document_type", "document_id", "event_time", *[c.alias(n) for n, c in logs.items()]
     )
-    return out.drop(*cols[3:])
+    out = W.running_mean(rows, ["document_type"], ["event_time", "document_id"], list(logs))
+    return out.drop(*logs)
