@@ -8,6 +8,7 @@ through a table that has at most (number of ranges + number of keys) rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,9 +20,16 @@ _PID = "_range_id"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table written to the shared checkpoint folder.
+
+    Unlike ``checkpoint()`` a written table keeps no constraints of the plan it came from
+    (they multiply in iterative joins), is columnar, and its size is known to the planner.
+    It survives the loss of any executor.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/inkstream-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scalar_struct(stats: DataFrame) -> Column:

@@ -109,9 +109,9 @@ FROM customer""",
         ("events_k",),
         """
 SELECT event_id,
-  CASE k % 5 WHEN 0 THEN 'document_uploaded' WHEN 1 THEN 'document_processing_started'
-    WHEN 2 THEN 'document_processing_completed' WHEN 3 THEN 'document_processing_failed'
-    ELSE 'document_classified' END AS event_type,
+  CASE k % 5 WHEN 0 THEN 'DocumentUploaded' WHEN 1 THEN 'DocumentProcessingStarted'
+    WHEN 2 THEN 'DocumentProcessingCompleted' WHEN 3 THEN 'DocumentProcessingFailed'
+    ELSE 'DocumentClassified' END AS event_type,
   concat('doc-', CAST(event_id % 500 AS VARCHAR)) AS aggregate_id, ts AS timestamp, k, value
 FROM events_k""",
     ),

@@ -203,8 +203,8 @@ class Tables:
         """Life-cycle events of 500 aggregates with a JSON payload, not yet versioned."""
         e, k = F.col("event_id"), F.col("k")
         kind = _by_mod(
-            k, "document_uploaded", "document_processing_started",
-            "document_processing_completed", "document_processing_failed", "document_classified",
+            k, "DocumentUploaded", "DocumentProcessingStarted",
+            "DocumentProcessingCompleted", "DocumentProcessingFailed", "DocumentClassified",
         )
         result = F.struct(
             F.when(k % 10 != 2, _by_mod(e, "invoice", "receipt", "contract")).alias("document_type"),
