@@ -304,9 +304,8 @@ def volume_change(df: DataFrame, ts: str = TS) -> DataFrame:
 # --- moving rows over the aggregated windows: one row per window and type ---
 
 
-def moving_average(df: DataFrame, width: str = "1 minute") -> DataFrame:
-    """Mean duration per window and type, and its mean over the last 5 and 10 windows present."""
-    per = tumbling(df, width, ["document_type"], {"current_avg": F.avg("processing_duration")})
+def moving_rows(per: DataFrame) -> DataFrame:
+    """Means of ``current_avg`` over the last 5 and 10 windows present, per type."""
     order = Window.partitionBy("document_type").orderBy("window_end")
     return per.select(
         "window_end",
@@ -317,12 +316,58 @@ def moving_average(df: DataFrame, width: str = "1 minute") -> DataFrame:
     )
 
 
-def count_trend(df: DataFrame, width: str = "5 minutes") -> DataFrame:
-    per = tumbling(df, width, ["document_type"], {"document_count": F.count(F.lit(1))})
+def trend_rows(per: DataFrame) -> DataFrame:
     prev = F.lag("document_count").over(Window.partitionBy("document_type").orderBy("window_end"))
-    return per.withColumn("previous_count", prev).withColumn(
-        "trend", F.col("document_count") - F.col("previous_count")
+    out = per.select("window_end", "document_type", "document_count", prev.alias("previous_count"))
+    return out.withColumn("trend", F.col("document_count") - F.col("previous_count"))
+
+
+def window_averages(df: DataFrame, width: str = "1 minute", watermark: str | None = None) -> DataFrame:
+    aggs = {"current_avg": F.avg("processing_duration"), "document_count": F.count(F.lit(1))}
+    return tumbling(df, width, ["document_type"], aggs, watermark)
+
+
+def moving_average(df: DataFrame, width: str = "1 minute") -> DataFrame:
+    """Mean duration per window and type, and its mean over the last 5 and 10 windows present."""
+    return moving_rows(window_averages(df, width))
+
+
+def count_trend(df: DataFrame, width: str = "5 minutes") -> DataFrame:
+    """Count per window and type, the previous count and the difference."""
+    return trend_rows(window_averages(df, width))
+
+
+def sessions(
+    df: DataFrame,
+    gap: str = "5 minutes",
+    keys: Sequence[str] = ("user_id",),
+    watermark: str | None = None,
+    ts: str = TS,
+) -> DataFrame:
+    """Activity sessions per key: start, end (last event plus gap), events.
+
+    On a batch, events of one key inside a slice as wide as the gap always belong together,
+    so they are first combined per (key, slice) on the map side; only these slices, bounded
+    by the time span and not by the number of events, are put in order per key.
+    """
+    if df.isStreaming:
+        rows = df.withWatermark(ts, watermark) if watermark else df
+        out = rows.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("events"))
+        return out.select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
+    width = F.expr(f"INTERVAL {gap}")
+    slices = df.groupBy(F.window(ts, gap).alias("w"), *keys).agg(
+        F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("n")
     )
+    order = Window.partitionBy(*keys).orderBy("first")
+    opens = F.coalesce(F.col("first") >= F.lag("last").over(order) + width, F.lit(True))
+    marked = slices.withColumn("opens", opens.cast("int"))
+    session = F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    out = marked.withColumn("session", session).groupBy(*keys, "session").agg(
+        F.min("first").alias("session_start"),
+        (F.max("last") + width).alias("session_end"),
+        F.sum("n").alias("events"),
+    )
+    return out.drop("session")
 
 
 def with_global_stat(df: DataFrame, stats: DataFrame, prefix: str = "") -> DataFrame:
@@ -492,12 +537,14 @@ def ewma(
     order: Sequence[str],
     value: str,
     keep: float = 0.9,
+    with_carry: bool = False,
 ) -> DataFrame:
     """Final value of ``avg = keep * avg + (1 - keep) * x`` per key, seeded by the first non-zero x.
 
     Unrolled into one weighted sum: x at distance ``d`` from the end weighs
     ``(1 - keep) * keep^d`` (the seed ``keep^d``), so the order-dependent fold becomes a
-    distributed rank plus an ordinary aggregate.
+    distributed rank plus an ordinary aggregate.  ``carry`` is the sum without a seed: an older
+    value ``a`` continues as ``a * keep^n + carry``.
     """
     rows = df.where(F.col(value).isNotNull())
     nonzero = F.when(F.col(value) != 0, 1).otherwise(0).cast("bigint")
@@ -506,8 +553,13 @@ def ewma(
     )
     decay = F.pow(F.lit(keep), F.col("_i_total") - F.col("_i"))
     seed = (F.col("_nz") == 1) & (F.col(value) != 0)
-    weight = F.when(seed, decay).otherwise(decay * F.lit(1 - keep))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value) * weight).alias("ewma"))
+    step = decay * F.lit(1 - keep)
+    out = ranked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col(value) * F.when(seed, decay).otherwise(step)).alias("ewma"),
+        F.sum(F.col(value) * step).alias("carry"),
+    )
+    return out if with_carry else out.drop("carry")
 
 
 def running_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -24,6 +24,7 @@ class Query:
     name: str
     run: Run
     sql: str | None
+    digits: Mapping[str, int]
 
 
 REGISTRY: dict[str, Query] = {}
@@ -72,13 +73,15 @@ def query(
     views: Iterable[str] = (),
     floats: Iterable[str] = (),
     digits: int = 9,
+    same_as: str | None = None,
 ) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
     """Register a query.  ``floats`` are the columns both sides round to ``digits``.
 
     An entry ``"col:2"`` rounds that column to its own number of digits.  SQL with common
-    table expressions ends them with a line ``---``.
+    table expressions ends them with a line ``---``.  ``same_as`` takes SQL and digits of
+    another query that must give the same rows.
     """
-    places = {}
+    places = dict(REGISTRY[same_as].digits) if same_as else {}
     for entry in floats:
         col, _, own = entry.partition(":")
         places[col] = int(own) if own else digits
@@ -91,7 +94,9 @@ def query(
             return rounded(build(Tables(spark, folder)), places, digits)
 
         text = with_views(sql, views, places) if sql else None
-        REGISTRY[name] = Query(name, run, text)
+        if same_as:
+            text = REGISTRY[same_as].sql
+        REGISTRY[name] = Query(name, run, text, places)
         return build
 
     return register

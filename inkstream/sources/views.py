@@ -238,3 +238,17 @@ class Tables:
             payload.alias("event_data"),
             F.col("ts").alias("timestamp"),
         )
+
+
+class StreamTables(Tables):
+    """The same views over streaming reads; times are zoned, as watermarks need them."""
+
+    def table(self, name: str) -> DataFrame:
+        static = super().table(name)
+        stream = (
+            self.spark.readStream.schema(static.schema)
+            .option("pathGlobFilter", f"{name}.parquet")
+            .parquet(self.folder)
+        )
+        zoned = {c: F.col(c).cast("timestamp") for c, t in static.dtypes if t == "timestamp_ntz"}
+        return stream.withColumns(zoned) if zoned else stream
