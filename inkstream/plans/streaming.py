@@ -87,19 +87,33 @@ _windowed(
 )
 
 
-@query("stream_fan_out", """SELECT 'language_analytics' AS output, count(*) >= 1 AS filled FROM doc_events
-UNION ALL SELECT 'realtime_alerts', true UNION ALL SELECT 'entity_analytics', true""", EV)
+_CLOSED = "<= (SELECT max(event_time) FROM doc_events) - INTERVAL 1 HOUR"
+_HOUR = "time_bucket(INTERVAL 1 HOUR, event_time) + INTERVAL 1 HOUR"
+
+
+@query(
+    "stream_fan_out",
+    f"""WITH d AS (SELECT *, {_HOUR} AS window_end FROM doc_events WHERE {_HOUR} {_CLOSED}),
+e AS (SELECT *, {_HOUR} AS window_end FROM doc_entities WHERE {_HOUR} {_CLOSED})
+---
+SELECT 'language_analytics' AS output, count(DISTINCT (window_end, detected_language)) AS windows, count(*) AS documents FROM d WHERE detected_language IS NOT NULL
+UNION ALL SELECT 'error_analysis', count(DISTINCT (window_end, error_code, error_message, document_type)), count(*) FROM d WHERE NOT success
+UNION ALL SELECT 'entity_analytics', count(DISTINCT (window_end, document_type, entity_type)), count(*) FROM e""",
+    ("doc_events", "doc_entities"),
+)
 def _(t: Tables):
+    """Closed windows of three outputs of one input, each written by its own query."""
     root = _folder(t.spark)
     stream = StreamTables(t.spark, t.folder).doc_events()
     outputs = S.stream_outputs(stream, watermark="1 hour", width="1 hour")
-    chosen = {n: outputs[n] for n in ("language_analytics", "realtime_alerts", "entity_analytics")}
-    for job in fan_out(chosen, root, f"{root}/checkpoint").values():
+    chosen = {"language_analytics": "document_count", "error_analysis": "error_count", "entity_analytics": "entity_count"}
+    for job in fan_out({n: outputs[n] for n in chosen}, root, f"{root}/checkpoint").values():
         job.awaitTermination()
     out = None
-    for name in chosen:
-        rows = t.spark.read.parquet(f"{root}/{name}").agg((F.count(F.lit(1)) >= 1).alias("filled"))
-        rows = rows.select(F.lit(name).alias("output"), "filled")
+    for name, count in chosen.items():
+        rows = t.spark.read.parquet(f"{root}/{name}").agg(
+            F.lit(name).alias("output"), F.count(F.lit(1)).alias("windows"), F.sum(count).alias("documents")
+        )
         out = rows if out is None else out.unionByName(rows)
     return out
 
