@@ -32,6 +32,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    For work that is heavy per row (long texts, vectors) on a table with fewer splits than
+    cores.  A table with enough splits, as any large one has, is returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scalar_struct(stats: DataFrame) -> Column:
     """A one-row DataFrame as a struct-valued scalar subquery."""
     return stats.select(F.struct("*")).scalar()

@@ -35,7 +35,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.functions.distributed import cut_lineage
+from inkstream.functions.distributed import cut_lineage, spread
 from inkstream.operators.relational import top_predictions
 from inkstream.operators.windows import train_validation_split
 
@@ -70,11 +70,9 @@ def word_stages(text: str) -> list:
 def words(df: DataFrame, text: str) -> DataFrame:
     """``df`` with the words of every text in place of the text, written once.
 
-    Fitting passes over the rows many times; only this step reads and splits the texts.  They
-    differ much in length, so they are spread evenly first.
+    Fitting passes over the rows many times; only this step reads and splits the texts.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = PipelineModel(stages=word_stages(text)).transform(df.repartition(parts))
+    split = PipelineModel(stages=word_stages(text)).transform(spread(df))
     return cut_lineage(split.drop(text, "_raw"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkstream.functions.distributed import spread
 from inkstream.operators import metrics as G
 from inkstream.operators import relational as R
 from inkstream.operators import scoring as A
@@ -270,7 +271,7 @@ SELECT {key}, CASE WHEN {greatest} = 0 THEN 'general' {cases} END AS document_ty
 def _classify(table: str, key: str, text: str):
     @query(f"classify_by_keywords_{table}", _classify_sql(table, key, text), floats=("type_confidence",))
     def _(t: Tables):
-        rows = t.table(table).withColumn("n_tables", F.col(key) % 3)
+        rows = spread(t.table(table)).withColumn("n_tables", F.col(key) % 3)
         return A.classify_by_keywords(rows, text, "n_tables").select(key, "document_type", "type_confidence")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from inkstream import schemas
+from inkstream.sources.tables import JSON_TIMES
 
 
 def read_event_stream(
@@ -46,7 +47,7 @@ def envelope(df: DataFrame, key: str = "aggregate_id") -> DataFrame:
 
     headers = F.array(prop("event_type", "event_type"), prop("aggregate_id", "aggregate_id"), prop("timestamp", "timestamp"))
     return df.select(
-        F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"), headers.alias("headers")
+        F.col(key).cast("string").alias("key"), F.to_json(F.struct("*"), JSON_TIMES).alias("value"), headers.alias("headers")
     )
 
 

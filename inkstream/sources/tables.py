@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 ZONES = ("raw", "processed", "analytics")
+#: JSON keeps microseconds; Spark's default format would cut them to milliseconds.
+JSON_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def read_table(
@@ -53,20 +58,20 @@ def write_zone(df: DataFrame, root: str, zone: str, date_col: str, dataset: str
         raise ValueError(f"zone must be one of {ZONES}")
     target = os.path.join(root, zone, dataset)
     dated = df.withColumn("date", F.to_date(date_col))
-    dated.hint("rebalance", "date").write.mode("append").partitionBy("date").json(target)
+    dated.hint("rebalance", "date").write.mode("append").partitionBy("date").options(**JSON_TIMES).json(target)
     return target
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON object per line; Spark writes UTF-8, so non-ASCII text is kept as is."""
-    df.select(F.to_json(F.struct("*")).alias("value")).write.mode(mode).text(path)
+    df.select(F.to_json(F.struct("*"), JSON_TIMES).alias("value")).write.mode(mode).text(path)
 
 
 def export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
     """Export as CSV with a header or as JSON lines."""
     if fmt == "csv":
-        df.write.mode(mode).option("header", True).csv(path)
+        df.write.mode(mode).options(**JSON_TIMES).option("header", True).csv(path)
     elif fmt == "json":
-        df.write.mode(mode).json(path)
+        df.write.mode(mode).options(**JSON_TIMES).json(path)
     else:
         raise ValueError(f"unsupported export format: {fmt}")
