@@ -35,8 +35,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores.
 
-    For work that is heavy per row (long texts, vectors) on a table with fewer splits than
-    cores.  A table with enough splits, as any large one has, is returned unchanged.
+    For work that is heavy per row (long texts, vectors) on a scan with fewer splits than
+    cores.  A table with enough splits, as any large one has, is returned unchanged.  Meant
+    for scans and projections: counting the partitions of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -72,7 +72,7 @@ def words(df: DataFrame, text: str) -> DataFrame:
 
     Fitting passes over the rows many times; only this step reads and splits the texts.
     """
-    split = PipelineModel(stages=word_stages(text)).transform(spread(df))
+    split = PipelineModel(stages=word_stages(text)).transform(df)
     return cut_lineage(split.drop(text, "_raw"))
 
 
@@ -219,7 +219,7 @@ def cross_validate(stages: list, df: DataFrame, text: str, key: str, folds: int
         numFolds=folds,
         foldCol="_fold",
     )
-    fitted = validator.fit(words(df, text).withColumn("_fold", fold))
+    fitted = validator.fit(words(spread(df), text).withColumn("_fold", fold))
     return df.sparkSession.createDataFrame(
         [(folds, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0]))],
         "folds int, mean_accuracy double, std_accuracy double",

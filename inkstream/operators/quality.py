@@ -237,7 +237,9 @@ def timeliness_expr(df: DataFrame, as_of=None) -> Column:
         return F.lit(0.5)
     at = F.try_to_timestamp(name) if isinstance(df.schema[name].dataType, StringType) else F.col(name)
     hours = F.timestamp_diff("MICROSECOND", at, instant(as_of)) / F.lit(3.6e9)
-    return F.coalesce(F.avg(F.greatest(F.least(1 - hours / 24, F.lit(1.0)), F.lit(0.0))), F.lit(0.0))
+    # rows without a time do not count (least and greatest would skip the NULL)
+    fresh = F.when(hours.isNotNull(), F.greatest(F.least(1 - hours / 24, F.lit(1.0)), F.lit(0.0)))
+    return F.coalesce(F.avg(fresh), F.lit(0.0))
 
 
 def completeness(df: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,10 +21,8 @@ class Versioned:
         """State after ``batch``; empty before the first one."""
         if batch < 0:
             return spark.createDataFrame([], self.schema)
-        try:
-            return spark.read.schema(self.schema).parquet(f"{self.path}/v={batch}")
-        except AnalysisException:
-            return spark.createDataFrame([], self.schema)
+        # every micro-batch writes its version: a missing one is an error, not an empty state
+        return spark.read.schema(self.schema).parquet(f"{self.path}/v={batch}")
 
     def put(self, df: DataFrame, batch: int) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
