@@ -40,11 +40,11 @@ def _(t: Tables):
 
 @query(
     "events_of",
-    "SELECT event_id, event_type, timestamp, version FROM store WHERE aggregate_id = 'doc-7' AND version >= 3",
+    "SELECT event_id, event_type, timestamp, version FROM store WHERE aggregate_id = 'doc-7' AND version >= 2",
     ("store",),
 )
 def _(t: Tables):
-    return E.events_of(store(t), "doc-7", 3).select("event_id", "event_type", "timestamp", "version")
+    return E.events_of(store(t), "doc-7", 2).select("event_id", "event_type", "timestamp", "version")
 
 
 @query(

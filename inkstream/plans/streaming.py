@@ -87,18 +87,22 @@ _windowed(
 )
 
 
-_CLOSED = "<= (SELECT max(event_time) FROM doc_events) - INTERVAL 1 HOUR"
 _HOUR = "time_bucket(INTERVAL 1 HOUR, event_time) + INTERVAL 1 HOUR"
 
 
+def _closed(name: str, keys: str, rows: str) -> str:
+    """Windows that end before the watermark, which follows the rows a query keeps."""
+    return f"""SELECT '{name}' AS output, count(DISTINCT ({_HOUR}, {keys})) AS windows, count(*) AS documents FROM {rows}
+WHERE {_HOUR} <= (SELECT max(event_time) FROM {rows}) - INTERVAL 1 HOUR"""
+
+
 @query(
     "stream_fan_out",
-    f"""WITH d AS (SELECT *, {_HOUR} AS window_end FROM doc_events WHERE {_HOUR} {_CLOSED}),
-e AS (SELECT *, {_HOUR} AS window_end FROM doc_entities WHERE {_HOUR} {_CLOSED})
----
-SELECT 'language_analytics' AS output, count(DISTINCT (window_end, detected_language)) AS windows, count(*) AS documents FROM d WHERE detected_language IS NOT NULL
-UNION ALL SELECT 'error_analysis', count(DISTINCT (window_end, error_code, error_message, document_type)), count(*) FROM d WHERE NOT success
-UNION ALL SELECT 'entity_analytics', count(DISTINCT (window_end, document_type, entity_type)), count(*) FROM e""",
+    _closed("language_analytics", "detected_language", "(SELECT * FROM doc_events WHERE detected_language IS NOT NULL)")
+    + " UNION ALL "
+    + _closed("error_analysis", "error_code, error_message, document_type", "(SELECT * FROM doc_events WHERE NOT success)")
+    + " UNION ALL "
+    + _closed("entity_analytics", "document_type, entity_type", "doc_entities"),
     ("doc_events", "doc_entities"),
 )
 def _(t: Tables):
