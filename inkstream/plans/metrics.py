@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstream.operators import metrics as G
-from inkstream.operators import relational as R
 from inkstream.operators import scoring as A
 from inkstream.plans.oracle_views import VIEWS
 from inkstream.plans.registry import query
