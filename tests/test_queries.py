@@ -5,8 +5,10 @@ from conftest import SMALL
 from oracle_check import compare
 
 import __spark_entry__ as contract
+from inkstream.plans import REGISTRY
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES = {name: q.run for name, q in REGISTRY.items()}
+SQL = {name: q.sql for name, q in REGISTRY.items() if q.sql}
 #: Fitted models and statistics have their own tests with small inputs.
 ROWS_ONLY = {
     "confidence_interval", "significance", "experiment_report", "fit_document_classifier",
@@ -24,5 +26,11 @@ def test_query(spark, duck, name):
     assert compare(spark, duck, SMALL, name, QUERIES[name], SQL[name]) in (None, "both empty")
 
 
+def test_the_contract_holds_every_query():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
