@@ -135,49 +135,36 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Word
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
 
 
-_STEP = mix(np.arange(1, 4097, dtype=_U), 5) | _U(1)
-
-
-def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+def ngram_hashes(hashes: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     """Hash of every run of ``n`` consecutive words, whatever documents they are in."""
-    m = max(0, len(hashes) - n + 1)
-    total = np.full(m, _U(n), dtype=_U)
-    for j in range(n):
-        total += hashes[j : j + m] * _STEP[j]
-    return mix(total, 3)
+    starts = np.arange(max(0, len(hashes) - n + 1))
+    return span_hashes(hashes, starts, starts + n, which)
 
 
-def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` values, the place of its smallest (of equal ones the first).
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of every run of ``width`` values.
 
     Running minima from both ends of blocks of ``width`` values: linear in the input whatever the width.
     """
     n = len(values)
     if n < width:
-        return np.zeros(0, dtype=np.int64)
-    if width == 1:
-        return np.arange(n)
-    blocks = -(-n // width)
-    padded = np.full(blocks * width, np.iinfo(_U).max, dtype=_U)
+        return np.zeros(0, dtype=values.dtype)
+    padded = np.full(-(-n // width) * width, np.iinfo(values.dtype).max, dtype=values.dtype)
     padded[:n] = values
-    square = padded.reshape(blocks, width)
+    square = padded.reshape(-1, width)
     forward = np.minimum.accumulate(square, axis=1).ravel()
     backward = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
-    smallest = np.minimum(backward[: n - width + 1], forward[width - 1 : n])
-    # the place: the next position holding that value, at or after the start of the run
-    change = np.flatnonzero(np.concatenate(([True], smallest[1:] != smallest[:-1])))
-    lengths = np.diff(np.append(change, len(smallest)))
-    order = np.argsort(values, kind="stable")
-    ranked = values[order]
-    out = np.empty(len(smallest), dtype=np.int64)
-    del forward, backward, padded
-    # runs of one minimum: the first run start decides unless equal values repeat inside it
-    left = np.searchsorted(ranked, smallest[change], side="left")
-    right = np.searchsorted(ranked, smallest[change], side="right")
-    single = right - left == 1
-    out[:] = np.repeat(np.where(single, order[np.minimum(left, n - 1)], -1), lengths)
-    for c in np.flatnonzero(~single):
-        places = order[left[c] : right[c]]
-        at = np.arange(change[c], change[c] + lengths[c])
-        out[at] = places[np.searchsorted(places, at, side="left")]
-    return out
+    return np.minimum(backward[: n - width + 1], forward[width - 1 : n])
+
+
+def pack(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+    """Rows of 64-bit columns as one byte string for each bucket that has any."""
+    order = np.argsort(bucket, kind="stable")
+    rows = np.stack([c.view(np.uint64) for c in columns], axis=1)[order]
+    names, first = np.unique(bucket[order], return_index=True)
+    return names, [part.tobytes() for part in np.split(rows, first[1:])] if len(names) else []
+
+
+def unpack(blobs: list[bytes], width: int) -> np.ndarray:
+    """All rows of byte strings made by :func:`pack`, as a matrix of ``width`` columns."""
+    return np.frombuffer(b"".join(blobs), dtype=np.uint64).reshape(-1, width)
