@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstream.llm import language_id, quality, sentencepiece_codec, token_counts
+from inkstream.llm import language_id, quality, sentencepiece_codec, substring_dedup, suffix_dedup, token_counts
 
 #: The vocabulary of the token queries.
 MODEL = "piece_bpe_32k.model"
@@ -19,6 +19,14 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"), public_tokenizers.path(MODEL))
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.digest(_table(spark, folder, "documents"))
+
+
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digest(_table(spark, folder, "documents"))
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -33,6 +41,8 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op7_quality": op7_quality,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
