@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstream.llm import language_id, quality, sentencepiece_codec, substring_dedup, suffix_dedup, token_counts
+from inkstream.llm import (
+    language_id, ngram_join, quality, sentencepiece_codec, substring_dedup, suffix_dedup, token_counts,
+)
 
 #: The vocabulary of the token queries.
 MODEL = "piece_bpe_32k.model"
@@ -15,6 +17,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_groups(_table(spark, folder, "documents"), n=4, percent=85)
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"), public_tokenizers.path(MODEL))
 
@@ -40,6 +46,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_token_counts": op2_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
