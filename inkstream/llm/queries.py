@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from inkstream.llm import (
-    language_id, ngram_join, quality, sentencepiece_codec, substring_dedup, suffix_dedup, token_counts,
+    decontamination, language_id, ngram_join, quality, sentencepiece_codec, substring_dedup, suffix_dedup, token_counts,
+    toxicity,
 )
 
 #: The vocabulary of the token queries.
@@ -33,6 +34,14 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.digest(_table(spark, folder, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.digest(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -50,6 +59,8 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
