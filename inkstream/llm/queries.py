@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from inkstream.llm import (
-    decontamination, language_id, ngram_join, quality, sentencepiece_codec, substring_dedup, suffix_dedup, token_counts,
-    toxicity,
+    decontamination, language_id, neighbours, ngram_join, quality, sentencepiece_codec, substring_dedup, suffix_dedup,
+    token_counts, toxicity,
 )
 
 #: The vocabulary of the token queries.
@@ -46,6 +46,10 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(_table(spark, folder, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_codec.encode(_table(spark, folder, "documents"), public_tokenizers.path(MODEL))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
+    "op8_neighbours": op8_neighbours,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
 }
