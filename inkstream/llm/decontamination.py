@@ -1,6 +1,6 @@
 """Finding benchmark passages in documents by spaced seeds.
 
-Method (spaced-seed hashing).  A seed is a run of words of which a fixed mask ignores some positions; words are compared A-Z lower-cased.  The
+Method (spaced-seed hashing).  A seed is a run of words of which a fixed mask ignores some positions; words are compared in lower case.  The
 seeds of the benchmark are joined with those of every document at every position.  Around each hit the item is laid over the document and
 the overlap is verified: some ``region`` aligned words (the whole item, if it is shorter) of which at least ``percent`` of a hundred are equal.
 Substituted words therefore neither hide a hit, as long as one mask ignores them, nor an overlap.
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
@@ -52,7 +53,7 @@ class Benchmark:
 
     def __init__(self, ids: list[int], texts: list[str], region: int, percent: int):
         self.ids, self.region, self.percent = np.array(ids, dtype=np.int64), region, percent
-        parts = [words_of(d, o, lower=True) for _, d, o in text_slices(pa.array(texts, pa.string()))]
+        parts = [words_of(d, o) for _, d, o in text_slices(pc.utf8_lower(pa.array(texts, pa.string())))]
         self.words = np.concatenate([p.hashes for p in parts]) if parts else np.zeros(0, dtype=_U)
         counts = np.concatenate([p.counts() for p in parts]) if parts else np.zeros(0, dtype=np.int64)
         self.first = np.concatenate(([0], np.cumsum(counts)))
@@ -145,8 +146,8 @@ def find_overlaps(
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = Benchmark(*shared.value, region, percent)
             for batch in batches:
-                for row, data, offsets in text_slices(batch.column(1)):
-                    words = words_of(data, offsets, lower=True)
+                for row, data, offsets in text_slices(pc.utf8_lower(batch.column(1))):
+                    words = words_of(data, offsets)
                     overlaps = block.overlaps(words.hashes, words.first)
                     columns = list(zip(*overlaps, strict=True)) or [()] * 5
                     yield pa.RecordBatch.from_arrays(
@@ -178,17 +179,17 @@ def judge(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = [Benchmark(*b.value, region, percent) for b in blocks] if len(blocks) == 1 else None
         for batch in batches:
-            n = batch.num_rows
+            n, lower = batch.num_rows, pc.utf8_lower(batch.column(1))
             n_words, n_items, covered, best = (np.zeros(n, dtype=np.int64) for _ in range(4))
             has = np.zeros(n, dtype=bool)
             found: dict[int, list[tuple]] = {}
             for b in range(len(blocks)):
                 block = loaded[0] if loaded else Benchmark(*blocks[b].value, region, percent)
-                for row, data, offsets in text_slices(batch.column(1)):
-                    words = words_of(data, offsets, lower=True)
+                for row, data, offsets in text_slices(lower):
+                    words = words_of(data, offsets)
                     for d, *rest in block.overlaps(words.hashes, words.first):
                         found.setdefault(row + d, []).append(tuple(rest))
-            for row, data, offsets in text_slices(batch.column(1)):
+            for row, data, offsets in text_slices(lower):
                 n_words[row : row + len(offsets) - 1] = words_of(data, offsets).counts()
             for row, overlaps in found.items():
                 has[row] = True
