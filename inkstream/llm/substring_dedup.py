@@ -34,6 +34,7 @@ from inkstream.llm import sketch
 from inkstream.llm.arrays import Words, mix, ngram_hashes, pack, sliding_min, text_slices, unpack, words_of
 
 WIDTH = 50
+_U = np.uint64
 
 
 def _windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +55,7 @@ def repeated_anchors(rows: DataFrame, width: int) -> list[tuple[int, bytes]]:
             _, owner, anchors = _windows(words_of(data, offsets), width)
             new = np.concatenate(([True], (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])))[: len(anchors)]
             anchors, owner = anchors[new], owner[new]
-            yield anchors[np.unique(mix(anchors) ^ owner.astype(np.uint64), return_index=True)[1]]
+            yield anchors[np.unique(mix(anchors) ^ owner.astype(_U), return_index=True)[1]]
 
     return sketch.merged_counts(rows, anchors_of)
 
