@@ -9,19 +9,53 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkstream.functions.distributed import cut_lineage
-from inkstream.llm import language_id, sentencepiece_codec
+from inkstream.llm import decontamination, language_id, ngram_join, sentencepiece_codec, substring_dedup
 
 #: The vocabulary of the last stage.
 MODEL = "piece_bpe_32k.model"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents whose text has no letter, or resembles no language, go."""
+    """Documents without a letter, or that share no n-gram with any language's profile, go."""
     return language_id.accepted(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Of each group of documents linked by five-word shingles at 0.8, the one with the smallest id stays.
+
+    Of several rows with that id one stays, the one that is first by text and other columns.  Documents with a null id, and those without
+    words, are in no group and stay.
+    """
+    groups = ngram_join.similar_groups(docs, n=5, percent=80)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    single = docs.dropDuplicates(["doc_id"]) if _has_repeated_ids(docs) else docs
+    return single.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+
+
+def _has_repeated_ids(docs: DataFrame) -> bool:
+    known = docs.where("doc_id IS NOT NULL")
+    return bool(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Passages of fifty words or more that an earlier document has go; a document that loses all its words goes too.
+
+    The text of a document that loses some is its other words, and ``n_chars`` follows where it was known.
+    """
+    done = substring_dedup.remove_repeats(docs)
+    rows = done.where("n_removed < n_words OR n_removed = 0").select("row.*", "n_removed")
+    changed = F.when((F.col("n_removed") > 0) & F.col("n_chars").isNotNull(), F.length("text").cast("bigint"))
+    return rows.withColumn("n_chars", F.coalesce(changed, "n_chars")).drop("n_removed")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids of every text, checked against the other library and by decoding."""
     return sentencepiece_codec.encode(docs, public_tokenizers.path(MODEL))
@@ -30,6 +64,9 @@ def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", identify_language),
+    ("ngram_join", drop_near_copies),
+    ("substring_dedup", drop_repeated_passages),
+    ("decontamination", decontaminate),
     ("sentencepiece", encode),
 ]
 
