@@ -41,7 +41,8 @@ LOOKALIKES = {
     "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
 #: Costs of the channel, as negative log probabilities.
-SUBSTITUTED, DROPPED, DROPPED_OUTSIDE, DOUBLED = 0.7, 1.5, 0.1, 0.5
+SUBSTITUTED, DOUBLED = 0.7, 0.5
+MARK_DROPPED, MARK_DROPPED_OUTSIDE, LOOKALIKE_DROPPED, DIGIT_DROPPED_OUTSIDE = 0.7, 0.1, 6.0, 2.0
 _EDGES = ".,;:?\"'`~*%&#)]}[{<>/\\=_-…«»“”’"
 
 
@@ -92,7 +93,8 @@ class CharacterModel:
                 if length > 1:
                     options.append((c + c, DOUBLED if length > 2 else 0.0))
             else:
-                options.append(("", DROPPED_OUTSIDE if outside else DROPPED))
+                inside = LOOKALIKE_DROPPED if c in LOOKALIKES else MARK_DROPPED
+                options.append(("", (DIGIT_DROPPED_OUTSIDE if c.isdigit() else MARK_DROPPED_OUTSIDE) if outside else inside))
                 for letter in LOOKALIKES.get(c, ""):
                     options.append((letter, SUBSTITUTED))
                     if length > 1:
