@@ -24,12 +24,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Unlike ``checkpoint()`` a written table keeps no constraints of the plan it came from
     (they multiply in iterative joins), is columnar, and its size is known to the planner.
-    It survives the loss of any executor.
+    It survives the loss of any executor, and goes with the session unless :func:`release`
+    removes it before.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/inkstream-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that :func:`cut_lineage` wrote, when nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -156,21 +169,22 @@ def skew_left_join(
     """LEFT JOIN that stays balanced when a key repeats very often on the right.
 
     Spark's adaptive skew handling cannot split the right side of a left join.  Keys above
-    ``share`` of the right rows (at most ``1/share`` keys, so the broadcast is bounded) go
-    through a salted inner join, all others through an ordinary left join.
+    ``share`` of the right rows (at most ``1/share`` keys, so the broadcast is bounded) get a
+    salt by row position on the right and every salt on the left; one left join on key and
+    salt then serves all keys.  A hot key has a partner, so its left rows without one are
+    only salts that missed, and go.
     """
     keys = list(keys)
     right = right.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-    hot = F.broadcast(hot_keys(right, keys, share))
-    payload = [c for c in right.columns if c not in keys]
-
-    cold_right = right.join(hot, keys, "left_anti")
-    cold = left.join(hot, keys, "left_anti").join(cold_right, keys, "left")
-
-    salt = F.pmod(F.xxhash64(*payload), F.lit(salts)) if payload else F.lit(0).cast("bigint")
-    hot_right = right.join(hot, keys, "left_semi").withColumn("_salt", salt)
-    hot_left = left.join(hot, keys, "left_semi").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    )
-    warm = hot_left.join(hot_right, [*keys, "_salt"]).drop("_salt")
-    return cold.unionByName(warm)
+    hot = F.broadcast(hot_keys(right, keys, share).withColumn("_hot", F.lit(True)))
+    position = F.pmod(F.monotonically_increasing_id(), F.lit(salts))
+    zero, last = F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")
+    salted = (
+        right.withColumn("_at", position).join(hot, keys, "left")
+        .withColumns({"_salt": F.when(F.col("_hot"), F.col("_at")).otherwise(zero), "_found": F.lit(True)})
+        .drop("_at", "_hot")
+    )
+    every = F.when(F.col("_hot"), F.sequence(zero, last)).otherwise(F.array(zero))
+    tagged = left.join(hot, keys, "left").withColumn("_salt", F.explode(every))
+    joined = tagged.join(salted, [*keys, "_salt"], "left")
+    return joined.where("_hot IS NULL OR _found").drop("_hot", "_salt", "_found")

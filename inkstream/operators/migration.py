@@ -137,6 +137,20 @@ def table_fingerprint(df: DataFrame, table: str) -> DataFrame:
     )
 
 
+def migrate_and_reconcile(
+    source: DataFrame, columns: Mapping[str, str], table: str, path: str
+) -> tuple[DataFrame, DataFrame]:
+    """Write the converted copy of a table to ``path``, read it back and compare.
+
+    Returns what the target holds and the row of :func:`reconcile`.  Both fingerprints are
+    taken of converted values, so a right copy agrees although its types are others.
+    """
+    converted = copy_table(source, columns)
+    converted.write.mode("overwrite").parquet(path)
+    target = source.sparkSession.read.schema(converted.schema).parquet(path)
+    return target, reconcile({table: (converted, target)})
+
+
 def reconcile(pairs: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """Source and target rows per table, copied share in percent, and whether contents agree."""
     out = None

@@ -243,14 +243,23 @@ def predict(df: DataFrame, fitted: FittedClassifier, key: str, top: int | None =
 
 
 def predict_all(df: DataFrame, models: Mapping[str, FittedClassifier], key: str) -> DataFrame:
-    """One row per text with the class and confidence of every model (joined on ``key``)."""
-    out = df.select(key)
+    """One row per text with the class and confidence of every model.
+
+    The models are applied to a row one after another, so nothing is joined and rows with
+    equal keys stay apart.
+    """
+    out = df.select(F.struct(key).alias("_row"), F.struct(*df.columns).alias("_in"))
+    done: list[str] = []
     for kind, fitted in models.items():
-        part = predict(df, fitted, key).select(
-            key, F.col("predicted_class").alias(f"{kind}_class"), F.col("confidence").alias(f"{kind}_confidence")
+        ready = out.select("_row", "_in", *done, "_in.*")
+        ready = ready.withColumn(fitted.model.stages[0].getInputCol(), F.lit(fitted.labels[0]))
+        scored = named_predictions(fitted.model.transform(ready), fitted.labels)
+        confidence = F.array_max(vector_to_array("probability"))
+        out = scored.select(
+            "_row", "_in", *done, F.col("predicted").alias(f"{kind}_class"), confidence.alias(f"{kind}_confidence")
         )
-        out = out.join(part, key, "left")
-    return out
+        done += [f"{kind}_class", f"{kind}_confidence"]
+    return out.select("_row.*", *done)
 
 
 def save_models(models: Mapping[str, FittedClassifier], folder: str) -> None:

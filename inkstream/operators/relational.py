@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstream.functions.columns import ago, as_bigint, instant, strip
-from inkstream.functions.distributed import skew_left_join
+from inkstream.functions.distributed import number_rows, skew_left_join
 
 #: Time-range labels and their lengths (fixed values).
 RANGES = {"1h": "1 HOUR", "24h": "1 DAY", "7d": "7 DAY", "30d": "30 DAY"}
@@ -180,24 +180,25 @@ def entities_with_documents(
 
 
 def document_with_entities(
-    docs: DataFrame, entities: DataFrame, key: str = "document_id", max_nested: int = 100_000
+    docs: DataFrame, entities: DataFrame, order: Sequence[str], key: str = "document_id"
 ) -> DataFrame:
-    """Documents with their entities as a sorted array, empty if there are none.
+    """One row per document and entity in long form, at every size.
 
-    A document with up to ``max_nested`` entities is one row (``page`` 0).  Beyond that its
-    entities are split over several pages by hash, so no row or task holds them all and none
-    is lost.
+    ``ordinal`` counts a document's entities from 1 in ``order`` and ``n_entities`` is their
+    number; a document without any has one row with NULLs and 0.  Positions come from
+    distributed ranks and the join is split, so no task holds all entities of a document.
     """
+    numbered = number_rows(entities, [key], order, "ordinal").withColumnRenamed("ordinal_total", "n_entities")
+    joined = skew_left_join(docs, numbered, [key])
+    return joined.withColumn("n_entities", F.coalesce("n_entities", F.lit(0).cast("bigint")))
+
+
+def requested_document(docs: DataFrame, entities: DataFrame, document: object, key: str = "document_id") -> DataFrame:
+    """One requested document with its entities as a sorted array, empty if there are none."""
     item = F.struct(*[c for c in entities.columns if c != key])
-    large = entities.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_nested)
-    pages = F.ceil(F.col("_n") / F.lit(max_nested))
-    paged = entities.join(large, key, "left").withColumn(
-        "page", F.coalesce(F.pmod(F.xxhash64(item), pages), F.lit(0).cast("bigint"))
-    )
-    nested = paged.groupBy(key, "page").agg(F.array_sort(F.collect_list(item)).alias("entities"))
-    return docs.join(nested, key, "left").withColumns(
-        {"entities": F.coalesce("entities", F.array()), "page": F.coalesce("page", F.lit(0).cast("bigint"))}
-    )
+    own = entities.where(F.col(key) == document).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("entities"))
+    found = docs.where(F.col(key) == document).join(own, key, "left")
+    return found.withColumn("entities", F.coalesce("entities", F.array()))
 
 
 def holdout_documents(docs: DataFrame, used: DataFrame, key: str, order: str, n: int = 200) -> DataFrame:

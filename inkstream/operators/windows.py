@@ -390,8 +390,7 @@ def peak_usage(df: DataFrame, width: str = "1 minute") -> DataFrame:
         (F.sum("ms") / F.sum("timed")).alias("avg_processing_duration"),
     )
     per = per.select(F.col("w.end").alias("window_end"), *per.columns[1:])
-    counts = tumbling(df, width, (), {"n": F.count(F.lit(1))})
-    mean = counts.select(F.avg("n")).scalar()
+    mean = per.select(F.avg("documents_processed")).scalar()
     level = F.when(F.col("documents_processed") > mean * PEAK_FACTOR, "Peak").otherwise("Normal")
     return per.withColumn("usage_level", level)
 
@@ -399,9 +398,8 @@ def peak_usage(df: DataFrame, width: str = "1 minute") -> DataFrame:
 def duration_anomalies(df: DataFrame, scope: str = "trailing_hour") -> DataFrame:
     """Documents slower than mean + 2 sample deviations.
 
-    The trailing hour is the 60 whole minutes that end with the row's minute.  Only
-    per-minute sums are windowed, one day per task; the last 59 minutes of a day are also
-    copied into the next day, so no window needs a second day.
+    The trailing hour of a row is everything from one hour before it up to its own instant.
+    Sums over it are differences of running sums, so no window holds the rows of an hour.
     """
     cols = [F.col(TS), "document_id", "processing_duration", "document_type", "user_id"]
     rows = df.select(*cols).where(F.col("processing_duration") > 0)
@@ -410,26 +408,27 @@ def duration_anomalies(df: DataFrame, scope: str = "trailing_hour") -> DataFrame
         limit = df.agg((F.avg(x) + ANOMALY_SIGMAS * F.stddev_samp(x)).alias("limit"))
         return rows.where(x > limit.scalar())
 
-    epoch = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
-    minute = F.timestamp_diff("MINUTE", epoch, F.col(TS))
-    per = df.groupBy(minute.alias("minute")).agg(
-        F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q")
+    # rows of one instant count once; values around the global mean keep the sums small
+    centre = df.select(F.avg(x)).scalar()
+    centred = df.where(x.isNotNull()).select(F.col(TS).alias("at"), (x - centre).alias("x"))
+    per = centred.groupBy("at").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    # each instant enters at its time and leaves just behind an hour later
+    hour = F.expr("INTERVAL 1 HOUR")
+    moves = F.array(
+        F.struct(F.col("at").alias("t"), F.lit(0).alias("kind"), "n", "s", "q"),
+        F.struct((F.col("at") + hour).alias("t"), F.lit(1).alias("kind"), (-F.col("n")).alias("n"), (-F.col("s")).alias("s"), (-F.col("q")).alias("q")),
     )
-    day = F.floor(F.col("minute") / 1440)
-    chunked = per.withColumn("own", day).withColumn(
-        "chunk", F.explode(F.array_distinct(F.array(day, F.floor((F.col("minute") + 59) / 1440))))
-    )
-    hour = Window.partitionBy("chunk").orderBy("minute").rangeBetween(-59, 0)
-    sums = chunked.select(
-        "minute", "own", "chunk", *[F.sum(c).over(hour).alias(c) for c in ("n", "s", "q")]
-    ).where("own = chunk")
-    mean = F.col("s") / F.col("n")
-    var = (F.col("q") - F.col("s") * mean) / (F.col("n") - 1)
-    limits = sums.where("n > 1").select(
-        "minute", (mean + ANOMALY_SIGMAS * F.sqrt(F.greatest(var, F.lit(0.0)))).alias("limit")
+    running = prefix_sums(
+        per.select(F.inline(moves)), [], ["t", "kind"],
+        {"count": F.col("n"), "total": F.col("s"), "squares": F.col("q")},
+    )
+    n, total = F.col("count"), F.col("total")
+    mean = F.try_divide(total, n)
+    var = F.try_divide(F.col("squares") - total * mean, n - 1)
+    limits = running.where("kind = 0 AND count > 1").select(
+        F.col("t").alias(TS), (centre + mean + ANOMALY_SIGMAS * F.sqrt(F.greatest(var, F.lit(0.0)))).alias("limit")
     )
-    flagged = rows.withColumn("minute", minute).join(limits, "minute").where(x > F.col("limit"))
-    return flagged.select(TS, "document_id", "processing_duration", "document_type", "user_id")
+    return rows.join(limits, TS).where(x > F.col("limit")).select(*cols)
 
 
 # --- configurable transforms ---
@@ -486,7 +485,9 @@ def deduplicate(
     subset = list(subset or df.columns)
     if keep not in ("first", "last", False, "none"):
         raise ValueError(f"unknown keep: {keep}")
-    if not order and keep in ("first", "last"):
+    if not order and keep == "last":
+        raise ValueError("keep='last' needs an order")
+    if not order and keep == "first":
         return df.dropDuplicates(subset)
     row = F.struct(*df.columns)
     rank = F.struct(*(order or subset))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from inkstream.operators import relational as R
 from inkstream.plans.oracle_views import VIEWS
 from inkstream.plans.registry import query
 from inkstream.plans.relational import FK_EDGES, constraint_tables
+from inkstream.session import ensure_checkpoint_dir
 from inkstream.sources.views import Tables
 
 DE = ("domain_events",)
@@ -483,3 +486,20 @@ def _(t: Tables):
     return Z.reconcile(
         {"orders": (t.orders, t.orders.select("*")), "customer": (t.customer, t.customer.where("c_custkey % 5 <> 0"))}
     )
+
+
+@query(
+    "migrate_and_reconcile",
+    """SELECT 'events' AS table_name, count(*) AS total_rows, count(*) AS migrated_rows, CAST(100 AS DOUBLE) AS progress_percentage, true AS identical FROM events
+UNION ALL SELECT 'events_changed', count(*), count(*), 100, false FROM events
+UNION ALL SELECT 'events_short', count(*), count(*) FILTER (event_id % 5 <> 0), count(*) FILTER (event_id % 5 <> 0) * CAST(100 AS DOUBLE) / count(*), false FROM events""",
+    floats=("progress_percentage",),
+)
+def _(t: Tables):
+    """The right copy of the events, one with a changed value, and one with rows missing."""
+    converted = Z.copy_table(t.events, _EVENT_COLUMNS)
+    folder = f"{ensure_checkpoint_dir(t.spark)}/migrated-{uuid.uuid4().hex}"
+    target, report = Z.migrate_and_reconcile(t.events, _EVENT_COLUMNS, "events", folder)
+    changed = target.withColumn("value", F.when(F.col("event_id") == 7, -1.0).otherwise(F.col("value")))
+    short = target.where("event_id % 5 <> 0")
+    return report.unionByName(Z.reconcile({"events_changed": (converted, changed), "events_short": (converted, short)}))

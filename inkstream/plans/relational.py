@@ -246,13 +246,13 @@ def _(t: Tables):
     "documents_with_invoice",
     """SELECT d.id AS document_id, d.status, i.invoice_number, i.vendor_name, i.customer_name, i.invoice_date, i.due_date,
   i.total_amount, i.subtotal, i.tax_amount, i.created_at AS invoice_created_at, d.created_at
-FROM user_documents d LEFT JOIN invoices i ON i.document_id = d.id AND i.is_valid""",
+FROM user_documents d LEFT JOIN invoices i ON i.document_id = d.id""",
     ("user_documents", "invoices"),
     floats=("total_amount:4", "subtotal:4", "tax_amount:7"),
 )
 def _(t: Tables):
     docs = t.user_documents().selectExpr("id AS document_id", "status", "created_at")
-    inv = t.invoices().where("is_valid").drop("confidence", "is_valid", "model_name", "line_count")
+    inv = t.invoices().drop("confidence", "is_valid", "model_name", "line_count")
     return R.documents_with_invoice(docs, inv)
 
 
@@ -284,16 +284,16 @@ def _(t: Tables):
 
 @query(
     "document_with_entities",
-    """SELECT f.document_id, f.status, e.entity_type, e.entity_confidence, coalesce(e.n, 0) AS n_entities FROM files f LEFT JOIN
-  (SELECT *, count(*) OVER (PARTITION BY document_id) AS n FROM doc_entities) e ON e.document_id = f.document_id""",
+    """SELECT f.document_id, f.status, e.entity_type, e.entity_confidence, e.ordinal, coalesce(e.n, 0) AS n_entities FROM files f LEFT JOIN
+  (SELECT *, count(*) OVER (PARTITION BY document_id) AS n, row_number() OVER (PARTITION BY document_id ORDER BY entity_type, entity_confidence) AS ordinal
+   FROM doc_entities) e ON e.document_id = f.document_id""",
     ("files", "doc_entities"),
     floats=("entity_confidence",),
 )
 def _(t: Tables):
     ent = t.doc_entities().select("document_id", "entity_type", "entity_confidence")
-    out = R.document_with_entities(t.files().select("document_id", "status"), ent)
-    return out.select(
-        "document_id", "status", F.size("entities").cast("bigint").alias("n_entities"), F.inline_outer("entities")
+    return R.document_with_entities(
+        t.files().select("document_id", "status"), ent, ["entity_type", "entity_confidence"]
     )
 
 

@@ -305,15 +305,12 @@ def _(t: Tables):
 
 @query(
     "duration_anomalies",
-    """WITH m AS (SELECT date_trunc('minute', event_time) AS minute, count(processing_duration) AS n,
-  sum(processing_duration) AS s, sum(processing_duration * processing_duration) AS q FROM doc_events GROUP BY 1),
-r AS (SELECT minute, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q FROM m
-  WINDOW w AS (ORDER BY minute RANGE BETWEEN INTERVAL 59 MINUTE PRECEDING AND CURRENT ROW)),
-l AS (SELECT minute, s / n + 2 * sqrt(greatest((q - s * (s / n)) / (n - 1), 0)) AS lim FROM r WHERE n > 1)
+    """WITH r AS (SELECT event_time, document_id, processing_duration, document_type, user_id,
+  count(processing_duration) OVER w AS n, avg(processing_duration) OVER w AS m, stddev_samp(processing_duration) OVER w AS sd
+  FROM doc_events WINDOW w AS (ORDER BY event_time RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW))
 ---
-SELECT event_time, document_id, processing_duration, document_type, user_id
-FROM doc_events JOIN l ON l.minute = date_trunc('minute', event_time)
-WHERE processing_duration > 0 AND processing_duration > lim""",
+SELECT event_time, document_id, processing_duration, document_type, user_id FROM r
+WHERE processing_duration > 0 AND n > 1 AND processing_duration > m + 2 * sd""",
     EV,
     floats=("processing_duration",),
 )

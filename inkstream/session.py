@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 #: Settings every deployment wants; cluster sizing stays with the submitter.
@@ -30,18 +28,13 @@ def build_session(app: str = "inkstream", master: str | None = None, **conf: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder of this session.
 
-    A cluster names it in ``spark.checkpoint.dir`` (shared storage).  Only a local
-    master may fall back to a machine-local folder, because there the driver and the
-    executors are the same machine.
+    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a folder in the
+    warehouse serves, which all executors share too.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="inkstream-checkpoint-")
-    context.setCheckpointDir(configured)
+    context.setCheckpointDir(configured or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return context.getCheckpointDir()

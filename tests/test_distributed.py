@@ -74,3 +74,27 @@ def test_hot_keys_are_few(rows):
     df = rows([(i % 50,) for i in range(5000)], "k int")
     assert D.hot_keys(df, ["k"], 0.05).count() == 0
     assert D.hot_keys(df, ["k"], 0.01).count() <= 100
+
+
+def test_skew_left_join_takes_maps_and_splits_equal_rows(spark, rows):
+    left = rows([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "k int, l string")
+    right = rows([(1, {"x": 1})] * 300 + [(2, {"y": 2})], "k int, m map<string,int>")
+    got = D.skew_left_join(left, right, ["k"], salts=4, share=0.1)
+    counts = {(r.k, r.l): r.n for r in got.groupBy("k", "l").count().withColumnRenamed("count", "n").collect()}
+    assert counts == {(1, "a"): 300, (2, "b"): 1, (3, "c"): 1, (None, "d"): 1}
+    assert got.where("k > 2 AND m IS NOT NULL").count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") <= 1 or "Broadcast" in plan
+
+
+def test_written_tables_can_be_released(spark, rows):
+    import os
+
+    from inkstream.session import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    table = D.cut_lineage(rows([(1,), (2,)], "k int"))
+    assert table.count() == 2 and len(set(os.listdir(folder)) - before) == 1
+    D.release(table)
+    assert set(os.listdir(folder)) == before

@@ -149,13 +149,35 @@ def test_empty_hours_and_days(rows):
     assert days == [("2024-01-01", 1, None), ("2024-01-02", 0, "decreasing"), ("2024-01-03", 1, "increasing")]
 
 
-def test_nested_entities_split_over_pages(rows):
+def test_an_anomaly_looks_back_only(rows):
+    """Later rows of the same minute do not hide an outlier; an hour back counts, more does not."""
+    quiet = [(i, dt(2024, 1, 1, 0, i), 10.0 + i % 2) for i in range(30)]
+    spike = [(99, dt(2024, 1, 1, 0, 40, 40), 100.0)]
+    after = [(200 + i, dt(2024, 1, 1, 0, 40, 50 + i), 100.0) for i in range(9)]
+    schema = "document_id int, event_time timestamp_ntz, processing_duration double"
+    more = {"document_type": F.lit("x"), "user_id": F.lit(1)}
+    for extra in ([], after):
+        found = W.duration_anomalies(rows(quiet + spike + extra, schema).withColumns(more)).collect()
+        assert 99 in {r.document_id for r in found}
+    edge = [(1, dt(2024, 1, 1, 0, 0), 1000.0), *[(i, dt(2024, 1, 1, 1, 0), 10.0 + i) for i in range(2, 9)], (50, dt(2024, 1, 1, 1, 0, 0), 100.0)]
+    assert {r.document_id for r in W.duration_anomalies(rows(edge, schema).withColumns(more)).collect()} == set()
+    edge[0] = (1, dt(2023, 12, 31, 23, 59, 59), 1000.0)
+    assert {r.document_id for r in W.duration_anomalies(rows(edge, schema).withColumns(more)).collect()} == {50}
+
+
+def test_entities_keep_one_shape_at_every_size(rows):
     docs = rows([(1,), (2,), (3,)], "document_id int")
-    ent = rows([(1, i) for i in range(50)] + [(2, 7)], "document_id int, e int")
-    out = R.document_with_entities(docs, ent, max_nested=10).collect()
-    assert sorted(x.e for r in out if r.document_id == 1 for x in r.entities) == list(range(50))
-    assert len([r for r in out if r.document_id == 1]) > 1
-    assert [len(r.entities) for r in out if r.document_id in (2, 3)] in ([1, 0], [0, 1])
+    ent = rows([(1, i) for i in range(500)] + [(2, 7)], "document_id int, e int")
+    out = R.document_with_entities(docs, ent, ["e"]).collect()
+    assert sorted((r.ordinal, r.e) for r in out if r.document_id == 1) == [(i + 1, i) for i in range(500)]
+    assert sorted((r.document_id, r.e, r.n_entities) for r in out if r.document_id != 1) == [(2, 7, 1), (3, None, 0)]
+    assert [r.e for r in R.requested_document(docs, ent, 1).first().entities] == list(range(500))
+    assert R.requested_document(docs, ent, 3).first().entities == []
+
+
+def test_the_last_duplicate_needs_an_order(rows):
+    with pytest.raises(ValueError):
+        W.deduplicate(rows([(1, "a")], "i int, k string"), ["k"], "last")
 
 
 def test_upsert_last_wins(rows):

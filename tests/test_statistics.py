@@ -62,3 +62,11 @@ def test_missing_value_is_zero(rows):
     events = rows([("m", 1, "control", None), ("m", 2, "control", 4.0)], "metric string, user_id int, variant string, value double")
     r = B.variant_stats(events).collect()[0]
     assert (r.n, r["mean"], r["std"], r["median"]) == (2, 2.0, 2.0, 2.0)
+
+
+def test_rank_sum_is_exact_whatever_the_sizes():
+    """The method does not change with n1 * n2."""
+    for n in (12_500, 12_501, 200_000):
+        u = 0.725 * 8 * n
+        p, normal = stats.rank_sum_p(u + 36, 8, n, 0), stats.rank_sum_p(u + 36, 8, n, 1e-9)
+        assert p != normal and p == pytest.approx(0.0256, abs=1e-4)
