@@ -164,7 +164,11 @@ def significance(
 
 
 def experiment_report(events: DataFrame, control: str = CONTROL, treatment: str = TREATMENT) -> DataFrame:
-    """Per metric and variant: statistics, interval, participants, test and effect."""
+    """Per metric and variant: statistics, interval, participants, test and effect.
+
+    A metric has one test and one effect, so they are its overall p value, effect and verdict
+    as well; NULL where a variant is missing.
+    """
     variants = variant_stats(events)
     people = events.groupBy("metric", "variant").agg(F.count_distinct("user_id").alias("participants"))
     tests = significance(events, variants, control, treatment)
@@ -174,4 +178,11 @@ def experiment_report(events: DataFrame, control: str = CONTROL, treatment: str
         .join(people, ["metric", "variant"])
         .join(tests, "metric", "left")
         .join(effects, "metric", "left")
+        .withColumns(
+            {
+                "overall_p_value": F.col("p_value"),
+                "overall_effect_size": F.col("effect_size"),
+                "overall_significant": F.coalesce("is_significant", F.lit(False)),
+            }
+        )
     )

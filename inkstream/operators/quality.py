@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -341,9 +342,11 @@ def quality_recommendations(metrics: DataFrame, results: DataFrame | None = None
     )
 
 
-def quality_report(df: DataFrame, table: str, results: DataFrame, as_of=None) -> DataFrame:
+def quality_report(
+    df: DataFrame, table: str, results: DataFrame, as_of=None, rounded: bool = True
+) -> DataFrame:
     """Dimension scores, validation summary and recommendations of one table as one row."""
-    metrics = quality_metrics(df, table, as_of)
+    metrics = quality_metrics(df, table, as_of, rounded)
     summary = validation_summary(results, ())
     advice = quality_recommendations(metrics, results).agg(
         F.array_sort(F.collect_list("recommendation")).alias("recommendations")
@@ -354,11 +357,28 @@ def quality_report(df: DataFrame, table: str, results: DataFrame, as_of=None) ->
     )
 
 
-def quality_dashboard(tables: Mapping[str, DataFrame], as_of=None, rounded: bool = True) -> DataFrame:
-    """One row of quality metrics per table."""
+def _failed_table(spark: SparkSession, table: str) -> DataFrame:
+    """The row of a table that cannot be read: all scores zero, critical."""
+    scores = [F.lit(0.0).alias(d) for d in (*DIMENSIONS, "overall_score")]
+    return spark.range(1).select(F.lit(table).alias("table_name"), *scores, F.lit("critical").alias("quality_level"))
+
+
+def quality_dashboard(
+    tables: Mapping[str, DataFrame | Callable[[], DataFrame]], as_of=None, rounded: bool = True
+) -> DataFrame:
+    """One row of quality metrics per table.
+
+    A table may be given as a function that reads it; one whose path, columns or types fail
+    counts as zero and critical without failing the others.
+    """
     out = None
-    for name, df in tables.items():
-        row = quality_metrics(df, name, as_of, rounded)
+    for name, table in tables.items():
+        try:
+            df = table() if callable(table) else table
+            row = quality_metrics(df, name, as_of, rounded)
+            _ = row.schema
+        except AnalysisException:
+            row = _failed_table(SparkSession.active(), name)
         out = row if out is None else out.unionByName(row)
     return out
 

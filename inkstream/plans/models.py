@@ -1,7 +1,7 @@
 """Text classifiers on the supplied documents.
 
 Fitted models differ between libraries, so these are checked by accuracy in the tests; the
-report arithmetic has reference SQL.  Tree counts and depths are sized for the test tables.
+report arithmetic has reference SQL.  All run at the sizes of the operators' defaults.
 """
 
 from __future__ import annotations
@@ -13,9 +13,6 @@ from inkstream.operators import models as X
 from inkstream.plans.registry import query
 from inkstream.sources.views import Tables
 
-_SMALL = {"trees": 20, "depth": 5, "rounds": 5, "boost_depth": 3, "vocabulary": 1000}
-
-
 def labelled(t: Tables) -> DataFrame:
     quality = F.when(F.col("quality") == 1, "good").otherwise("poor")
     mood = F.when(F.col("toxic") == 1, "negative").otherwise("positive")
@@ -47,7 +44,7 @@ def _(t: Tables):
 
 @query("fit_document_classifier")
 def _(t: Tables):
-    best, other = X.fit_document_classifier(labelled(t), **_SMALL)
+    best, other = X.fit_document_classifier(labelled(t))
     return best.report.withColumn("model", F.lit(best.name)).unionByName(
         other.report.withColumn("model", F.lit(other.name))
     )
@@ -55,17 +52,17 @@ def _(t: Tables):
 
 @query("fit_sentiment_classifier")
 def _(t: Tables):
-    return X.fit_sentiment_classifier(labelled(t), iterations=50, vocabulary=1000).report
+    return X.fit_sentiment_classifier(labelled(t)).report
 
 
 @query("fit_language_detector")
 def _(t: Tables):
-    return X.fit_language_detector(languages(t), vocabulary=1000).report
+    return X.fit_language_detector(languages(t)).report
 
 
 @query("cross_validate")
 def _(t: Tables):
-    stages = X.fit_stages(X.NaiveBayes(smoothing=X.SMOOTHING), "language", 1, False, vocabulary=1000)
+    stages = X.fit_stages(X.NaiveBayes(smoothing=X.SMOOTHING), "language", 2, False)
     return X.cross_validate(stages, languages(t), "text", "document_id")
 
 
@@ -73,7 +70,7 @@ def _(t: Tables):
 def _(t: Tables):
     """Language and sentiment of every document by models fitted on the labelled ones."""
     models = {
-        "language": X.fit_language_detector(languages(t), vocabulary=1000),
-        "sentiment": X.fit_sentiment_classifier(labelled(t), iterations=20, vocabulary=1000),
+        "language": X.fit_language_detector(languages(t)),
+        "sentiment": X.fit_sentiment_classifier(labelled(t)),
     }
     return X.predict_all(languages(t), models, "document_id")

@@ -158,6 +158,22 @@ def _(t: Tables):
     return Q.quality_dashboard(quality_tables(t), AS_OF, rounded=False)
 
 
+@query(
+    "quality_dashboard_failed_table",
+    """SELECT * FROM table_quality WHERE table_name = 'documents'
+UNION ALL SELECT 'missing', 0, 0, 0, 0, 0, 0, 0, 'critical' UNION ALL SELECT 'malformed', 0, 0, 0, 0, 0, 0, 0, 'critical'""",
+    ("table_quality",),
+    floats=_DIMS,
+)
+def _(t: Tables):
+    """One good table, one that is not there and one without the columns asked for."""
+    broken = {
+        "missing": lambda: t.spark.read.parquet(f"{t.folder}/no_such_table.parquet"),
+        "malformed": lambda: t.files().select("no_such_column"),
+    }
+    return Q.quality_dashboard({"documents": t.files(), **broken}, AS_OF, rounded=False)
+
+
 _ADVICE = """SELECT table_name, 'Improve data completeness by implementing required field validation' AS recommendation FROM table_quality WHERE completeness < 0.8
 UNION ALL SELECT table_name, 'Enhance data accuracy by implementing business rule validation' FROM table_quality WHERE accuracy < 0.8
 UNION ALL SELECT table_name, 'Improve data consistency by standardizing data formats' FROM table_quality WHERE consistency < 0.8
@@ -178,14 +194,15 @@ def _(t: Tables):
     "quality_report",
     f"""WITH a AS ({_ADVICE})
 ---
-SELECT table_name, quality_level, s.*, (SELECT string_agg(recommendation, '; ' ORDER BY recommendation) FROM a WHERE table_name = 'documents') AS recommendations
+SELECT table_quality.*, s.*, (SELECT string_agg(recommendation, '; ' ORDER BY recommendation) FROM a WHERE table_name = 'documents') AS recommendations
 FROM table_quality, (SELECT {_SUMMARY} FROM document_results) s WHERE table_name = 'documents'""",
     ("table_quality", "document_results"),
+    floats=_DIMS,
 )
 def _(t: Tables):
     files = t.files()
-    out = Q.quality_report(files, "documents", Q.validate_documents(files), AS_OF)
-    return out.drop(*_DIMS).withColumn("recommendations", F.array_join("recommendations", "; "))
+    out = Q.quality_report(files, "documents", Q.validate_documents(files), AS_OF, rounded=False)
+    return out.withColumn("recommendations", F.array_join("recommendations", "; "))
 
 
 _QALERTS = " UNION ALL ".join(

@@ -344,13 +344,15 @@ def test_normalize_entities_of_texts(rows):
     assert one(X.normalize_entities(df)).entities == {"a": "x", "b": ""}
 
 
-def test_vector_search_in_blocks_equals_one_block(spark, rows):
+def test_vector_search_in_blocks_equals_one_block(spark, rows, monkeypatch):
     from inkstream.sources.views import Tables
 
     vectors = Tables(spark, "/root/testdata/sf0.001").embeddings
     queries = vectors.selectExpr("vec_id AS query_id", "embedding")
     a = sorted(tuple(r) for r in V.vector_top_k(queries, vectors, 3).collect())
-    b = sorted(tuple(r) for r in V.vector_top_k(queries, vectors, 3, block=7).collect())
+    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(V, "VECTOR_BLOCK", 50)
+    b = sorted(tuple(r) for r in V.vector_top_k(queries, vectors, 3).collect())
     assert [(r[0], r[1], r[3]) for r in a] == [(r[0], r[1], r[3]) for r in b]
     assert all(r[0] == r[1] for r in a if r[3] == 1)
 

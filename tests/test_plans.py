@@ -67,3 +67,17 @@ def test_no_local_checkpoint_in_the_library():
     assert "localCheckpoint" not in text and "crossJoin" not in text
 
 
+
+
+def test_search_reads_the_documents_once_and_collects_nothing(spark):
+    import inspect
+
+    from inkstream.operators import search
+
+    assert ".collect()" not in inspect.getsource(search) and ".first()" not in inspect.getsource(search)
+    t = Tables(spark, SMALL)
+    docs = t.documents
+    for n in (1, 40):
+        queries = t.benchmark.where(f"item_id < {n}").selectExpr("item_id AS query_id", "text")
+        scans = [x for x in plan(search.text_top_k(queries, docs)).splitlines() if "FileScan" in x and "doc_id" in x]
+        assert len(scans) <= 3  # postings, their counts (reused where equal), sizes
