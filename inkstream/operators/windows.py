@@ -48,11 +48,9 @@ def _failed() -> Column:
     return as_bigint(F.count_if(~F.col("success")))
 
 
-def _distinct(df: DataFrame, col: str, few: bool) -> Column:
-    """Exact distinct count; streams use a set when values are ``few``, else a sketch."""
-    if not df.isStreaming:
-        return F.count_distinct(col)
-    return F.size(F.collect_set(col)).cast("bigint") if few else F.approx_count_distinct(col)
+def _few_distinct(df: DataFrame, col: str) -> Column:
+    """Exact distinct count of a column with few values; streams keep them as a set."""
+    return F.size(F.collect_set(col)).cast("bigint") if df.isStreaming else F.count_distinct(col)
 
 
 def duration_category(df: DataFrame, as_of=None, recent: str | None = None) -> DataFrame:
@@ -138,7 +136,7 @@ def user_activity(df: DataFrame, width: str = "10 minutes", watermark: str | Non
         "documents_processed": F.count(F.lit(1)),
         "avg_processing_duration": F.avg("processing_duration"),
         "total_file_size": F.sum("file_size"),
-        "unique_document_types": _distinct(df, "document_type", few=True),
+        "unique_document_types": _few_distinct(df, "document_type"),
         "avg_confidence": F.avg("confidence"),
     }
     return tumbling(df.where(F.col("user_id").isNotNull()), width, ["user_id"], aggs, watermark)
@@ -146,14 +144,24 @@ def user_activity(df: DataFrame, width: str = "10 minutes", watermark: str | Non
 
 def throughput_analysis(df: DataFrame, width: str = "1 minute", watermark: str | None = None) -> DataFrame:
     if df.isStreaming:
-        aggs = {
-            "documents": F.count(F.lit(1)),
-            "avg_processing_duration": F.avg("processing_duration"),
-            "total_data_processed": F.sum("file_size"),
-            "active_users": _distinct(df, "user_id", few=False),
-            "document_types_processed": _distinct(df, "document_type", few=True),
-        }
-        return tumbling(df, width, (), aggs, watermark)
+        # users first, then windows: two chained aggregates count users exactly
+        marked = df.withWatermark(TS, watermark) if watermark else df
+        per_user = marked.groupBy(F.window(TS, width).alias("w"), "user_id").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("processing_duration").alias("ms"),
+            F.count("processing_duration").alias("timed"),
+            F.sum("file_size").alias("bytes"),
+            F.collect_set("document_type").alias("types"),
+        )
+        types = F.size(F.array_distinct(F.flatten(F.collect_set("types")))).cast("bigint")
+        out = per_user.groupBy(F.window("w", width).alias("v")).agg(
+            F.sum("n").alias("documents"),
+            (F.sum("ms") / F.sum("timed")).alias("avg_processing_duration"),
+            F.sum("bytes").alias("total_data_processed"),
+            F.count("user_id").alias("active_users"),
+            types.alias("document_types_processed"),
+        )
+        return out.select(F.col("v.end").alias("window_end"), *out.columns[1:])
     # two distinct counts would triple every raw row; collapse to (window, user, type) first
     pair = df.groupBy(F.window(TS, width).alias("w"), "user_id", "document_type").agg(
         F.count(F.lit(1)).alias("n"),
@@ -186,14 +194,29 @@ def quality_metrics_window(df: DataFrame, width: str = "5 minutes", watermark: s
 
 def entity_analytics(df: DataFrame, width: str = "5 minutes", watermark: str | None = None) -> DataFrame:
     """Type x entity type, from the nested ``entities`` array."""
-    flat = df.select(TS, "document_id", "document_type", F.inline("entities"))
+    marked = df.withWatermark(TS, watermark) if watermark else df
+    flat = marked.select(TS, "document_id", "document_type", F.inline("entities"))
     flat = flat.where(F.col("entity_type").isNotNull())
+    keys = ["document_type", "entity_type"]
+    if df.isStreaming:
+        # documents first, then windows: two chained aggregates count documents exactly
+        per_document = flat.groupBy(F.window(TS, width).alias("w"), *keys, "document_id").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("entity_confidence").alias("sum"),
+            F.count("entity_confidence").alias("known"),
+        )
+        out = per_document.groupBy(F.window("w", width).alias("v"), *keys).agg(
+            F.sum("n").alias("entity_count"),
+            (F.sum("sum") / F.sum("known")).alias("avg_entity_confidence"),
+            F.count("document_id").alias("documents_with_entity"),
+        )
+        return out.select(F.col("v.end").alias("window_end"), *out.columns[1:])
     aggs = {
         "entity_count": F.count(F.lit(1)),
         "avg_entity_confidence": F.avg("entity_confidence"),
-        "documents_with_entity": _distinct(df, "document_id", few=False),
+        "documents_with_entity": F.count_distinct("document_id"),
     }
-    return tumbling(flat, width, ["document_type", "entity_type"], aggs, watermark)
+    return tumbling(flat, width, keys, aggs)
 
 
 def realtime_alerts(df: DataFrame, width: str = "1 minute", watermark: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkstream.operators import windows as W
 import inkstream.plans.windows  # noqa: F401  the streams repeat its queries
 from inkstream.plans.events import store
-from inkstream.plans.registry import query
+from inkstream.plans.registry import REGISTRY, query
 from inkstream.session import ensure_checkpoint_dir
 from inkstream.sources.streams import fan_out
 from inkstream.sources.views import StreamTables, Tables
@@ -54,37 +54,47 @@ def _(t: Tables):
     return W.sessions(t.doc_events(), "2 hours")
 
 
-def _windowed(name: str, width: str, keys: list[str], schema: str) -> None:
+def _windowed(name: str, width: str, keys: list[str]) -> None:
     """A windowed output as a stream: changed windows are merged by key in every micro-batch."""
 
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        root = _folder(spark)
-        table = Versioned(f"{root}/{name}", schema)
-        stream = S.WINDOWED[name](StreamTables(spark, folder).doc_events(), width, watermark="1 day")
+    @query(f"stream_{name}", same_as=name)
+    def _(t: Tables):
+        root = _folder(t.spark)
+        stream = S.WINDOWED[name](StreamTables(t.spark, t.folder).doc_events(), width, watermark="1 day")
+        table = Versioned(f"{root}/{name}", stream.schema)
         job = S.run_batches(stream, S.upsert_into(table, keys), f"{root}/checkpoint", mode="update")
-        return _naive(table.at(spark, _last(job)))
+        return _naive(table.at(t.spark, _last(job)))
 
-    @query(f"stream_{name}", same_as=name)
+
+_windowed("document_type_distribution", "1 hour", ["window_end", "document_type"])
+_windowed("performance_metrics", "1 hour", ["window_end"])
+_windowed("user_activity", "1 day", ["window_end", "user_id"])
+_windowed("sentiment_trends", "6 hours", ["window_end", "sentiment", "document_type"])
+_windowed("language_analytics", "6 hours", ["window_end", "detected_language"])
+_windowed("error_analysis", "1 hour", ["window_end", "error_code", "error_message", "document_type"])
+_windowed("quality_metrics_window", "6 hours", ["window_end", "document_type"])
+
+
+def _closed_windows(name: str, width: str, end: str = "window_end") -> None:
+    """An output written once a window is closed: the windows that end before the watermark."""
+
+    @query(
+        f"stream_{name}",
+        f"""SELECT * FROM ({REGISTRY[name].sql}) AS b WHERE {end} <= (SELECT max(event_time) - INTERVAL 1 HOUR FROM doc_events)""",
+        EV,
+        floats=[f"{c}:{d}" for c, d in REGISTRY[name].digits.items()],
+    )
     def _(t: Tables):
-        return run(t.spark, t.folder)
-
-
-_windowed(
-    "document_type_distribution", "1 hour", ["window_end", "document_type"],
-    """window_end TIMESTAMP, document_type STRING, document_count BIGINT, avg_processing_duration DOUBLE, avg_confidence DOUBLE,
-       success_count BIGINT, failure_count BIGINT, success_rate DOUBLE""",
-)
-_windowed(
-    "performance_metrics", "1 hour", ["window_end"],
-    """window_end TIMESTAMP, total_documents BIGINT, avg_processing_duration DOUBLE, max_processing_duration DOUBLE,
-       min_processing_duration DOUBLE, successful_documents BIGINT, failed_documents BIGINT, avg_confidence DOUBLE,
-       avg_file_size DOUBLE, success_rate DOUBLE""",
-)
-_windowed(
-    "user_activity", "1 day", ["window_end", "user_id"],
-    """window_end TIMESTAMP, user_id BIGINT, documents_processed BIGINT, avg_processing_duration DOUBLE, total_file_size BIGINT,
-       unique_document_types BIGINT, avg_confidence DOUBLE""",
-)
+        root = _folder(t.spark)
+        out = S.WINDOWED[name](StreamTables(t.spark, t.folder).doc_events(), width, watermark="1 hour")
+        for job in fan_out({name: out}, root, f"{root}/checkpoint").values():
+            job.awaitTermination()
+        return _naive(t.spark.read.schema(out.schema).parquet(f"{root}/{name}"))
+
+
+_closed_windows("throughput_analysis", "1 hour")
+_closed_windows("entity_analytics", "1 day")
+_closed_windows("realtime_alerts", "6 hours", "alert_time")
 
 
 _HOUR = "time_bucket(INTERVAL 1 HOUR, event_time) + INTERVAL 1 HOUR"
@@ -122,18 +132,21 @@ def _(t: Tables):
     return out
 
 
-@query("document_lifecycle", same_as="replay")
+@query(
+    "document_lifecycle",
+    f"""SELECT *, CASE WHEN retry_count < 3 THEN retry_count + 1 END AS next_retry,
+  CASE WHEN retry_count < 3 THEN failed_at + INTERVAL 5 MINUTE END AS retry_at FROM ({REGISTRY['replay'].sql}) AS r""",
+    floats=("processing_duration",),
+)
 def _(t: Tables):
-    """Versioned events as a stream through the keyed state; the last record per document."""
-    S.use_rocksdb(t.spark)
+    """Versioned events over several micro-batches; the record of every document at the end."""
     root = _folder(t.spark)
     store(t).withColumn("timestamp", F.col("timestamp").cast("timestamp")).write.parquet(f"{root}/store")
     saved = t.spark.read.parquet(f"{root}/store")
     stream = t.spark.readStream.schema(saved.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/store")
-    table = Versioned(f"{root}/records", S.RECORD)
-    keys = ["document_id"]
-    job = S.run_batches(S.document_lifecycle(stream), S.upsert_into(table, keys), f"{root}/checkpoint", mode="update")
-    return _naive(table.at(t.spark, _last(job))).drop("next_retry", "retry_at")
+    table = Versioned(f"{root}/newest", S.NEWEST)
+    job = S.run_batches(stream, S.keep_newest(table), f"{root}/checkpoint")
+    return _naive(S.document_records(table.at(t.spark, _last(job))).drop("processing_result"))
 
 
 @query(

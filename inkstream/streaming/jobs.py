@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
-from typing import Any
+from collections.abc import Callable, Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from inkstream.operators import windows as W
-from inkstream.operators.events import MAX_RETRIES, STATUS
+from inkstream.operators.events import MAX_RETRIES, RETRY_DELAY, STATUS, replay
 from inkstream.operators.relational import upsert
 from inkstream.streaming.tables import Versioned
 
@@ -61,105 +59,45 @@ def upsert_into(table: Versioned, keys: list[str]) -> Callable[[DataFrame, int],
 
 # --- life cycle of documents ---
 
-#: One record per document and micro-batch, as ``operators.events.replay`` has them.
-RECORD = """
-    document_id STRING, status STRING, version BIGINT, file_name STRING, file_size BIGINT, uploaded_at TIMESTAMP,
-    processing_pipeline STRING, processing_started_at TIMESTAMP, processing_duration DOUBLE, completed_at TIMESTAMP,
-    error_message STRING, error_code STRING, retry_count INT, failed_at TIMESTAMP,
-    next_retry INT, retry_at TIMESTAMP
-"""
-# group -> (version field, fields it sets); the event with the highest version wins
-_GROUPS = {
-    "uploaded": ("u", ("file_name", "file_size", "uploaded_at")),
-    "processing": ("s", ("processing_pipeline", "processing_started_at")),
-    "completed": ("c", ("processing_duration", "completed_at")),
-    "failed": ("f", ("error_message", "error_code", "retry_count", "failed_at")),
-}
-_STATE = """
-    status STRING, version BIGINT, u BIGINT, s BIGINT, c BIGINT, f BIGINT, file_name STRING, file_size BIGINT,
-    uploaded_at TIMESTAMP, processing_pipeline STRING, processing_started_at TIMESTAMP, processing_duration DOUBLE,
-    completed_at TIMESTAMP, error_message STRING, error_code STRING, retry_count INT, failed_at TIMESTAMP
-"""
-_STATE_FIELDS = [part.split()[0] for part in _STATE.replace("\n", " ").split(",")]
-
-
-def lifecycle_rows(stream: DataFrame) -> DataFrame:
-    """Life-cycle events with their payload as flat columns (JVM side, before the state)."""
-    status = F.when(F.lit(False), "")
-    for kind, name in STATUS.items():
-        status = status.when(F.col("event_type") == kind, name)
-    data = """file_name STRING, file_size BIGINT, processing_pipeline STRING, processing_duration DOUBLE,
-              error_message STRING, error_code STRING, retry_count INT"""
-    rows = stream.where(F.col("event_type").isin(*STATUS))
-    return rows.select(
-        F.col("aggregate_id").alias("document_id"),
-        status.alias("status"),
-        F.col("version").cast("bigint").alias("version"),
-        F.col("timestamp").alias("at"),
-        F.from_json("event_data", data).alias("d"),
-    ).select("document_id", "status", "version", "at", "d.*")
-
-
-class DocumentState(StatefulProcessor):
-    """Folds life-cycle events of one document; events may arrive in any order."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("document", _STATE)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        known = dict(zip(_STATE_FIELDS, self._state.get())) if self._state.exists() else dict.fromkeys(_STATE_FIELDS)
-        at_field = {"uploaded": "uploaded_at", "processing": "processing_started_at", "completed": "completed_at", "failed": "failed_at"}
-        retry = None
-        for frame in rows:
-            # of every status only the newest event of this frame can matter
-            newest = frame.sort_values("version").groupby("status", sort=False).tail(1)
-            for event in newest.to_dict("records"):
-                mark, fields = _GROUPS[event["status"]]
-                if known[mark] is None or event["version"] > known[mark]:
-                    known[mark] = event["version"]
-                    for name in fields:
-                        value = event["at"] if name == at_field[event["status"]] else event[name]
-                        known[name] = None if pd.isna(value) else value
-                    if event["status"] == "failed" and known["retry_count"] is not None:
-                        known["retry_count"] = int(known["retry_count"])
-                        retry = event if known["retry_count"] < MAX_RETRIES else None
-                    if known["file_size"] is not None:
-                        known["file_size"] = int(known["file_size"])
-                if known["version"] is None or event["version"] > known["version"]:
-                    known["version"], known["status"] = event["version"], event["status"]
-        self._state.update(tuple(known[f] for f in _STATE_FIELDS))
-        record = {f: known[f] for f in _STATE_FIELDS if f not in ("u", "s", "c", "f")}
-        record["document_id"] = key[0]
-        record["next_retry"] = None if retry is None else known["retry_count"] + 1
-        record["retry_at"] = None if retry is None else retry["at"] + pd.Timedelta(minutes=5)
-        columns = [part.split()[0] for part in RECORD.replace("\n", " ").split(",")]
-        yield pd.DataFrame([[record[c] for c in columns]], columns=columns)
-
-    def close(self) -> None:
-        pass
-
-
-def document_lifecycle(stream: DataFrame) -> DataFrame:
-    """Current record of every document touched in a micro-batch, with a retry when it failed.
-
-    Needs the RocksDB state store (``use_rocksdb``).
+#: What is kept of a document: the newest event of each kind.
+NEWEST = "aggregate_id STRING, event_type STRING, version BIGINT, timestamp TIMESTAMP, event_data STRING"
+
+
+def _newest(events: DataFrame) -> DataFrame:
+    """The event with the highest version of each document and kind, combined on the map side."""
+    seen = F.max(F.struct("version", "timestamp", "event_data")).alias("e")
+    return events.groupBy("aggregate_id", "event_type").agg(seen).select("aggregate_id", "event_type", "e.*")
+
+
+def keep_newest(table: Versioned, expire_after: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Batch function that folds life-cycle events into ``table``, in whatever order they arrive.
+
+    The table is all the state there is.  With ``expire_after`` (an interval) documents go whose
+    newest event is that much older than the newest of all.
     """
-    return (
-        lifecycle_rows(stream)
-        .groupBy("document_id")
-        .transformWithStateInPandas(
-            statefulProcessor=DocumentState(),
-            outputStructType=RECORD,
-            outputMode="Update",
-            timeMode="None",
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.where(F.col("event_type").isin(*STATUS)).select(
+            "aggregate_id", "event_type", F.col("version").cast("bigint").alias("version"), "timestamp", "event_data"
         )
-    )
+        kept = _newest(table.at(batch.sparkSession, batch_id - 1).unionByName(_newest(rows)))
+        if expire_after:
+            last = kept.groupBy("aggregate_id").agg(F.max("timestamp").alias("last"))
+            floor = last.select(F.max("last") - F.expr(f"INTERVAL {expire_after}")).scalar()
+            kept = kept.join(last.where(F.col("last") >= floor).select("aggregate_id"), "aggregate_id", "left_semi")
+        table.put(kept, batch_id)
+
+    return merge
 
 
-def use_rocksdb(spark) -> None:
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+def document_records(newest: DataFrame) -> DataFrame:
+    """Record of every document, with the next attempt of a failure that may be retried."""
+    again = F.col("retry_count") < MAX_RETRIES
+    return replay(newest).withColumns(
+        {
+            "next_retry": F.when(again, F.col("retry_count") + 1),
+            "retry_at": F.when(again, F.col("failed_at") + F.expr(f"INTERVAL {RETRY_DELAY}")),
+        }
     )
 
 

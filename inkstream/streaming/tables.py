@@ -1,6 +1,7 @@
 """Small versioned tables kept by ``foreachBatch``: one folder per micro-batch.
 
 A micro-batch that is run again overwrites its own version, so results are exactly once.
+Only the last two versions are kept.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -15,7 +17,7 @@ class Versioned:
     """A table whose state after micro-batch ``n`` lies in ``path/v=n``."""
 
     path: str
-    schema: str
+    schema: str | StructType
 
     def at(self, spark: SparkSession, batch: int) -> DataFrame:
         """State after ``batch``; empty before the first one."""
@@ -26,4 +28,7 @@ class Versioned:
 
     def put(self, df: DataFrame, batch: int) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
-        return self.at(df.sparkSession, batch)
+        spark = df.sparkSession
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={batch - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        return self.at(spark, batch)
