@@ -219,10 +219,11 @@ def _block_broadcasts(spark, benchmark: DataFrame, item: str, item_text: str):
 
 
 def digest(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and the findings for every document."""
+    """``key`` and the findings for every document that holds a benchmark passage."""
     plain = documents.select(F.col(key).alias(key), F.col(text).alias("_text"))
     done = judge(plain, benchmark, "_text")
-    return done.select(F.col("row").getField(key).alias(key), "n_words", "n_items", "n_covered", "best_item", "contaminated")
+    found = done.where("contaminated")
+    return found.select(F.col("row").getField(key).alias(key), "n_words", "n_items", "n_covered", "best_item", "contaminated")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
