@@ -181,6 +181,16 @@ def inner_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+#: A candidate in a list of hits.
+HIT = np.dtype([("score", "<f8"), ("vec", "<i8")])
+
+
+def best_of(lists: list[np.ndarray], count: int) -> np.ndarray:
+    """The ``count`` best of some lists of hits: largest score first, ties to the smaller id."""
+    every = np.concatenate(lists)
+    return every[np.lexsort((every["vec"], -every["score"]))[:count]]
+
+
 def search(
     vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20, key: str = "vec_id", vector: str = "embedding",
     sample: int = SAMPLE,
@@ -237,7 +247,8 @@ def search(
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         c, q = _matrix(left.column("v").combine_chunks()), _matrix(right.column("v").combine_chunks())
-        out: list[list] = [[], [], [], []]
+        names: list[list[int]] = [[], []]
+        hits: list[bytes] = []
         if len(c) and len(q):
             one, two = (right.column(n).to_numpy() for n in ("one", "two"))
             ids = left.column("ids").to_pylist()
@@ -248,31 +259,42 @@ def search(
                 # whatever ties with the last one, up to rounding
                 i, j = np.nonzero(scores >= (floor - 1e-9 * np.maximum(1, np.abs(floor)))[:, None])
                 exact = inner_products(q[first + i], c[j])
-                order = np.lexsort((-exact, i))
-                i, j, exact = i[order], j[order], exact[order]
                 begin = np.searchsorted(i, np.arange(len(scores) + 1))
                 for n in range(len(scores)):
-                    best = sorted(
-                        (-exact[p], vec) for p in range(begin[n], begin[n + 1]) for vec in ids[j[p]]
-                    )[: k + 1]
-                    out[0] += [one[first + n]] * len(best)
-                    out[1] += [two[first + n]] * len(best)
-                    out[2] += [vec for _, vec in best]
-                    out[3] += [-s for s, _ in best]
+                    pairs = [(exact[p], vec) for p in range(begin[n], begin[n + 1]) for vec in ids[j[p]]]
+                    names[0].append(one[first + n])
+                    names[1].append(two[first + n])
+                    hits.append(best_of([np.array(pairs, dtype=HIT)], k + 1).tobytes())
         return pa.table(
-            {
-                "one": pa.array(out[0], pa.int64()), "two": pa.array(out[1], pa.int64()),
-                "vec": pa.array(out[2], pa.int64()), "score": pa.array(out[3], pa.float64()),
-            }
-        )
+            {"one": pa.array(names[0], pa.int64()), "two": pa.array(names[1], pa.int64()), "hits": pa.array(hits, pa.binary())}
+        )
 
     block = ["part", "c", "q"]
     found = candidates.groupBy(*block).cogroup(queries.groupBy(*block)).applyInArrow(
-        rank, "one bigint, two bigint, vec bigint, score double"
+        rank, "one bigint, two bigint, hits binary"
     )
-    nearest = Window.partitionBy("one", "two").orderBy(F.desc("score"), "vec")
-    best = found.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1)
-    lists = best.groupBy("one", "two").agg(F.sort_array(F.collect_list(F.struct("n", "vec", "score"))).alias("found"))
+
+    def merge(table: pa.Table) -> pa.Table:
+        one, two = (table.column(n).to_numpy() for n in ("one", "two"))
+        hits = table.column("hits").to_pylist()
+        order = np.lexsort((two, one))
+        new = np.concatenate(([True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)))
+        first = np.flatnonzero(new)
+        groups = np.split(order, first[1:])
+        best = [best_of([np.frombuffer(hits[i], dtype=HIT) for i in g], k + 1) for g in groups]
+        ends = np.concatenate(([0], np.cumsum([len(b) for b in best]))).astype(np.int32)
+        flat = np.concatenate(best)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(flat[name])) for name in ("vec", "score")]
+        heads = order[first]
+        return pa.table([pa.array(one[heads]), pa.array(two[heads]), *lists], names=["one", "two", "vecs", "scores"])
+
+    # a row for each query vector and probed block: a bounded list each, merged by shards of the query vectors
+    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lists = (
+        found.withColumn("shard", F.pmod("one", F.lit(shards))).groupBy("shard")
+        .applyInArrow(merge, "one bigint, two bigint, vecs array<bigint>, scores array<double>")
+        .select("one", "two", F.arrays_zip(F.col("vecs").alias("vec"), F.col("scores").alias("score")).alias("found"))
+    )
     answered = asked.join(lists, ["one", "two"]).select(
         F.col("id").alias("query_id"), F.slice(F.filter("found", lambda x: x["vec"] != F.col("id")), 1, k).alias("found")
     )
