@@ -10,7 +10,8 @@ pairs stand for equal windows (a false match among ``n`` windows has a chance of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,10 @@ import pyarrow as pa
 
 _U = np.uint64
 #: Bytes of text handled at once; arrays of eight bytes for each of them are alive together.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+
+#: Rows of a batch whose results are gathered before they are passed on.
+PIECE_ROWS = 2000
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -78,6 +82,22 @@ def blocks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         first = stop
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on, and later stages need the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+        give_back()
+
+
 @dataclass
 class Words:
     """Words of a slice of documents; document ``d`` owns words ``first[d] : first[d + 1]``."""
@@ -113,6 +133,8 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         stop = min(max(stop, row + 1), n)
         yield row, data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
         row = stop
+    if n > PIECE_ROWS:
+        give_back()
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:

@@ -28,13 +28,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from inkstream.llm.arrays import blocks
+from inkstream.llm.arrays import blocks, pieces
 from inkstream.llm.pieces import (
     BPE, MARK, NORMAL, UNIGRAM, USER_DEFINED, Model, parse_model, pretokens, splits_at_marks,
 )
 
 #: Distinct parts remembered by a Python worker, bytes of text encoded together, and parts in one string for the libraries.
-MEMORY = 1_000_000
+MEMORY = 300_000
 BLOCK = 4 << 20
 JOINED = 256
 
@@ -206,7 +206,7 @@ def encode(documents: DataFrame, model_path: str, key: str = "doc_id", text: str
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
-        for batch in batches:
+        for batch in pieces(batches):
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             for first, stop in blocks(sizes, BLOCK):
                 texts = [t or "" for t in batch.column(1).slice(first, stop - first).to_pylist()]
