@@ -24,22 +24,23 @@ set; a null key stays null, is never the smallest unless alone.  Very long texts
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from inkstream.functions.distributed import cut_lineage
 from inkstream.llm import sketch
-from inkstream.llm.arrays import Words, mix, ngram_hashes, pack, span_hashes, text_slices, unpack, words_of
+from inkstream.llm.arrays import Words, mix, ngram_hashes, pack, pieces, span_hashes, text_slices, unpack, words_of
 from inkstream.llm.components import connected_components
 
 _U = np.uint64
 #: Nodes in a block of a group, and of a cluster.
-GROUP_BLOCK = 128
+GROUP_BLOCK = 512
 CLUSTER_BLOCK = 1024
 #: Children of a tree node.
 FANOUT = 8
@@ -158,8 +159,9 @@ def _possible(a, b, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Whether some pair below tree nodes ``i`` and ``j`` can link."""
     out = (100 * a[2][i] >= percent * b[1][j]) & (100 * b[2][j] >= percent * a[1][i])
     keep = np.flatnonzero(out)
-    for first in range(0, len(keep), 4096):
-        some = keep[first : first + 4096]
+    step = max(64, (1 << 19) // a[0].shape[1])  # 4 MB of bitmaps at once
+    for first in range(0, len(keep), step):
+        some = keep[first : first + step]
         x, y = i[some], j[some]
         common = np.bitwise_count(a[0][x] & b[0][y]).sum(axis=1, dtype=np.int64) + np.minimum(a[3][x], b[3][y])
         out[some] = (100 + percent) * common >= percent * (a[1][x] + b[1][y])
@@ -214,6 +216,16 @@ def forest(a: np.ndarray, b: np.ndarray, count: int) -> tuple[np.ndarray, np.nda
     return moved, label[moved]
 
 
+def named_forest(edges: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """The edges of several blocks as one spanning forest of stars around the smallest names."""
+    if not edges:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    left, right = (np.concatenate(side) for side in zip(*edges, strict=True))
+    names, places = np.unique(np.concatenate([left, right]), return_inverse=True)
+    a, b = forest(places[: len(left)], places[len(left) :], len(names))
+    return pa.table({"a": names[a], "b": names[b]})
+
+
 def linked_pairs(sets: list[np.ndarray], split: int | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs among the sets, or between the first ``split`` ones and the others, by exact overlaps.
 
@@ -257,29 +269,53 @@ def _block_pairs(count: int, block: int) -> Iterator[tuple[slice, slice | None]]
             yield first, second
 
 
-def _maybe_linked(keyed: DataFrame, sets: DataFrame, percent: int, shards: int) -> DataFrame:
+def _fetch(
+    rows: DataFrame, wanted: DataFrame, n: int, make: Callable[[np.ndarray, int], list[tuple]], schema: pa.Schema
+) -> DataFrame:
+    """``make(set, node)`` for the texts whose ``node`` is in ``wanted``, and by chance for a few others.
+
+    A sketch of the wanted nodes, of bounded size, tells the tasks which; the texts are not shuffled.
+    """
+
+    def own_nodes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield batch.column(0).to_numpy().view(_U)
+
+    found = sketch.merged_counts(wanted.select("node").distinct(), own_nodes, least=1)
+    shared = rows.sparkSession.sparkContext.broadcast(found)
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sketch.bits(shared.value)
+        for batch in pieces(batches):
+            seen: set[int] = set()
+            out: list[tuple] = []
+            for _, grams in sets_of(batch.column(0), n):
+                if len(grams) and (node := node_of(grams)) not in seen:
+                    seen.add(node)
+                    if sketch.estimated(bits, np.array([node], dtype=_U))[0]:
+                        out += make(grams, node)
+            columns = list(zip(*out, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+            )
+
+    return rows.select("text").mapInArrow(fetch, from_arrow_schema(schema))
+
+
+def _maybe_linked(keyed: DataFrame, rows: DataFrame, n: int, percent: int, shards: int) -> DataFrame:
     """Edges between nodes of one cluster: spanning forests of the pairs that the signature trees leave.
 
     ``keyed`` has blocks of groups (``block``, ``size_class``, ``side``, ``node``).
     """
-    needed = keyed.select("node", "size_class").distinct().join(sets, "node")
 
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs, size_class = batch.column(2).to_pylist(), batch.column(1).to_pylist()
-            arrays = [np.frombuffer(b, dtype=_U) for b in blobs]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array([len(a) for a in arrays], pa.int64()),
-                    pa.array([bitmap(a, c).tobytes() for a, c in zip(arrays, size_class, strict=True)], pa.binary()),
-                ],
-                names=["node", "size_class", "n", "bits"],
-            )
-
-    signed = needed.select("node", "size_class", "grams").mapInArrow(
-        signatures, "node bigint, size_class int, n bigint, bits binary"
-    )
-    rows = keyed.join(signed, ["node", "size_class"]).withColumn("shard", F.pmod("block", F.lit(shards)))
+    def signatures(grams: np.ndarray, node: int) -> list[tuple]:
+        return [(node, c, len(grams), bitmap(grams, c).tobytes()) for c in classes_of(len(grams), percent)]
+
+    schema = pa.schema([("node", pa.int64()), ("size_class", pa.int32()), ("n", pa.int64()), ("bits", pa.binary())])
+    signed = (
+        _fetch(rows, keyed, n, signatures, schema).groupBy("node", "size_class")
+        .agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    )
+    placed = keyed.join(signed, ["node", "size_class"]).withColumn("shard", F.pmod("block", F.lit(shards)))
 
     def search(table: pa.Table) -> pa.Table:
         block, node, size, side = (table.column(c).to_numpy() for c in ("block", "node", "n", "side"))
@@ -287,7 +323,7 @@ def _maybe_linked(keyed: DataFrame, sets: DataFrame, percent: int, shards: int)
         order = np.lexsort((node, side, block))
         ends = np.append(np.flatnonzero(np.diff(block[order])) + 1, len(order))
         begin = 0
-        out_a, out_b = [], []
+        found = []
         for end in ends:
             mine = order[begin:end]
             begin = end
@@ -299,24 +335,25 @@ def _maybe_linked(keyed: DataFrame, sets: DataFrame, percent: int, shards: int)
             else:
                 i, j = dual_traversal(left, SignatureTree(maps[cut:], size[mine[cut:]]), percent)
                 j = j + cut
-            a, b = forest(i, j, len(mine))
-            out_a.append(node[mine[a]])
-            out_b.append(node[mine[b]])
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+            found.append((node[mine[i]], node[mine[j]]))
+        return named_forest(found)
 
     columns = ["shard", "block", "node", "side", "n", "bits"]
-    return rows.select(columns).groupBy("shard").applyInArrow(search, "a bigint, b bigint")
+    return placed.select(columns).groupBy("shard").applyInArrow(search, "a bigint, b bigint")
 
 
-def _linked(clusters: DataFrame, sets: DataFrame, percent: int, shards: int) -> DataFrame:
+def _linked(clusters: DataFrame, rows: DataFrame, n: int, percent: int, shards: int) -> DataFrame:
     """Edges between nodes that link, as spanning forests of blocks; ``clusters`` has ``node`` and ``component``."""
+    schema = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
+    fetched = _fetch(rows, clusters, n, lambda grams, node: [(node, grams.tobytes())], schema)
+    sets = fetched.groupBy("node").agg(F.first("grams").alias("grams"))
     sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(CLUSTER_BLOCK)).alias("blocks"))
     placed = clusters.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     paired = placed.select(
         "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     )
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    rows = paired.select(
+    held = paired.select(
         "node", F.xxhash64("component", low, high).alias("block"), (F.col("own") > F.col("other")).cast("int").alias("side"),
         (F.col("own") == F.col("other")).alias("alone"),
     ).join(sets, "node").withColumn("shard", F.pmod("block", F.lit(shards)))
@@ -328,7 +365,7 @@ def _linked(clusters: DataFrame, sets: DataFrame, percent: int, shards: int) ->
         order = np.lexsort((node, side, block))
         ends = np.append(np.flatnonzero(np.diff(block[order])) + 1, len(order))
         begin = 0
-        out_a, out_b = [], []
+        found = []
         for end in ends:
             mine = order[begin:end]
             begin = end
@@ -336,14 +373,12 @@ def _linked(clusters: DataFrame, sets: DataFrame, percent: int, shards: int) ->
             split = None if alone[mine[0]] else int((side[mine] == 0).sum())
             if split == 0 or split == len(mine):
                 continue
-            a, b = forest(*linked_pairs(arrays, split, percent), len(mine))
-            out_a.append(node[mine[a]])
-            out_b.append(node[mine[b]])
-        none = [np.zeros(0, dtype=np.int64)]
-        return pa.table({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)})
+            i, j = linked_pairs(arrays, split, percent)
+            found.append((node[mine[i]], node[mine[j]]))
+        return named_forest(found)
 
     columns = ["shard", "block", "node", "side", "alone", "grams"]
-    return rows.select(columns).groupBy("shard").applyInArrow(verify, "a bigint, b bigint")
+    return held.select(columns).groupBy("shard").applyInArrow(verify, "a bigint, b bigint")
 
 
 def similar_groups(
@@ -375,8 +410,8 @@ def similar_groups(
     buckets = 2 * parallel
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: set[int] = set()  # equal sets of a batch offer their keys once
+        for batch in pieces(batches):
+            seen: set[int] = set()  # equal sets of a piece offer their keys once
             keys, nodes = [], []
             for _, grams in sets_of(batch.column(0), n):
                 if not len(grams) or (node := node_of(grams)) in seen:
@@ -431,30 +466,8 @@ def similar_groups(
         blocks.select("block", "size_class", F.lit(1).alias("side"), F.explode("right").alias("node"))
     )
 
-    # the sets of the nodes in groups, and by chance of a few others
-    def own_nodes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield batch.column(0).to_numpy().view(_U)
-
-    wanted = spark.sparkContext.broadcast(sketch.merged_counts(keyed.select("node").distinct(), own_nodes, least=1))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sketch.bits(wanted.value)
-        for batch in batches:
-            found: dict[int, bytes] = {}
-            for _, grams in sets_of(batch.column(0), n):
-                if len(grams):
-                    node = node_of(grams)
-                    if node not in found and sketch.estimated(bits, np.array([node], dtype=_U))[0]:
-                        found[node] = grams.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["node", "grams"]
-            )
-
-    sets = cut_lineage(
-        rows.select("text").mapInArrow(fetch, "node bigint, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
-    )
-    clusters = connected_components(_maybe_linked(keyed, sets, percent, 4 * parallel))
-    linked = connected_components(_linked(clusters, sets, percent, 4 * parallel))
+    clusters = connected_components(_maybe_linked(keyed, rows, n, percent, parallel))
+    linked = connected_components(_linked(clusters, rows, n, percent, parallel))
     named = measured.join(linked, "node", "left").withColumn("group", F.coalesce("component", "node"))
     smallest = named.where("group IS NOT NULL").groupBy("group").agg(F.min("key").alias("smallest"))
     return named.join(smallest, "group", "left").select(
