@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from inkstream.llm import sketch
-from inkstream.llm.arrays import Words, mix, ngram_hashes, pack, sliding_min, text_slices, unpack, words_of
+from inkstream.llm.arrays import Words, mix, ngram_hashes, pack, pieces, sliding_min, text_slices, unpack, words_of
 
 WIDTH = 50
 _U = np.uint64
@@ -78,12 +78,13 @@ def repeated_windows(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def late(one: np.ndarray, keys: np.ndarray, earliest: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-        """Windows found in an earlier document, by document."""
-        return pack(keys[keys > earliest], [one[keys > earliest]])
+        """Windows found in an earlier document with their keys, by shards of the keys."""
+        found = keys > earliest
+        return pack((mix(keys[found].view(_U)) >> _U(33)).astype(np.int64) % buckets, [keys[found], one[found]])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sketch.bits(shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(0).to_numpy()
             parts = []
@@ -103,25 +104,29 @@ def repeated_windows(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             names, blobs = pack(bucket, [one[first], two[first], keys[first]])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([np.abs(done) % buckets, names]), pa.int64()),
-                    pa.concat_arrays([pa.array(done, pa.int64()), pa.nulls(len(names), pa.int64())]),
+                    pa.array(np.concatenate([done, names]), pa.int64()),
+                    pa.array(np.arange(len(done) + len(names)) < len(done)),
                     pa.array(found + blobs, pa.binary()),
                 ],
-                names=["bucket", "key", "windows"],
+                names=["bucket", "decided", "rows"],
             )
 
     def group(table: pa.Table) -> pa.Table:
-        table = table.select(["key", "windows"])
-        open_rows = unpack(table.filter(pc.is_null(table.column("key"))).column("windows").to_pylist(), 3)
-        one, _, keys, _, earliest = _earliest(open_rows[:, 0], open_rows[:, 1], open_rows[:, 2].view(np.int64))
-        names, found = late(one, keys, earliest)
-        decided = table.filter(pc.is_valid(table.column("key")))
-        more = pa.table([pa.array(names, pa.int64()), pa.array(found, pa.binary())], schema=decided.schema)
-        return pa.concat_tables([decided, more])
+        decided = table.filter(table.column("decided")).select(["bucket", "rows"])
+        rows = unpack(table.filter(pc.invert(table.column("decided"))).column("rows").to_pylist(), 3)
+        one, _, keys, _, earliest = _earliest(rows[:, 0], rows[:, 1], rows[:, 2].view(np.int64))
+        shards, found = late(one, keys, earliest)
+        more = pa.table([pa.array(shards, pa.int64()), pa.array(found, pa.binary())], schema=decided.schema)
+        return pa.concat_tables([decided, more]).rename_columns(["shard", "rows"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows = unpack(table.column("rows").to_pylist(), 2)
+        keys, blobs = pack(rows[:, 0].view(np.int64), [np.ascontiguousarray(rows[:, 1])])
+        return pa.table({"key": pa.array(keys, pa.int64()), "windows": pa.array(blobs, pa.binary())})
 
-    spread = rows.mapInArrow(candidates, "bucket bigint, key bigint, windows binary")
-    grouped = spread.groupBy("bucket").applyInArrow(group, "key bigint, windows binary")
-    return grouped.groupBy("key").agg(F.collect_list("windows").alias("windows"))
+    spread = rows.mapInArrow(candidates, "bucket bigint, decided boolean, rows binary")
+    grouped = spread.groupBy("bucket").applyInArrow(group, "shard bigint, rows binary")
+    return grouped.groupBy("shard").applyInArrow(gather, "key bigint, windows binary")
 
 
 def covered_words(words: Words, d: int, windows: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
@@ -166,7 +171,7 @@ def remove_repeats(
                         if words is None:
                             words = words_of(data, offsets)
                             hashes = ngram_hashes(words.hashes, width)
-                        gone = covered_words(words, d, np.sort(unpack(windows[first + d], 1)[:, 0]), hashes, width)
+                        gone = covered_words(words, d, np.sort(unpack([windows[first + d]], 1)[:, 0]), hashes, width)
                         kept = [w for w, g in zip(own, gone.tolist(), strict=True) if not g]
                         removed = len(own) - len(kept)
                     joined = b" ".join(kept)
