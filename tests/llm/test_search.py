@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 from data import SCHEMA, awkward, documents, words
@@ -120,3 +121,37 @@ def test_a_benchmark_in_blocks_and_empty_tables(spark, monkeypatch):
     assert decontamination.digest(docs, none).where("contaminated").count() == 0
     assert decontamination.find_overlaps(docs, none).count() == 0
     assert decontamination.digest(docs.where(F.lit(False)), bench).collect() == []
+
+
+def test_masks_lose_no_placement_of_the_allowed_substitutions():
+    for length in range(decontamination.SHORTEST, 31):
+        wrong = length * 20 // 100
+        if length > 20:
+            length, wrong = 20, 4
+        masks = [[j for j, bit in enumerate(m) if bit == "1"] for m in decontamination.masks_for(length, 80)]
+        runs = [{o + j for j in m} for m in masks for o in range(length - m[-1])]
+        assert all(any(r.isdisjoint(c) for r in runs) for c in combinations(range(length), wrong)), length
+
+
+def test_every_fifth_word_and_random_words_substituted(spark):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    items = [(n, words(rng, n, letters), 1) for n in (5, 6, 9, 10, 13, 15, 17, 19, 20, 33, 59)]
+    texts = []
+    for n, text, _ in items:
+        for trial in range(25):
+            swapped = text.split()
+            size = min(n, 20)
+            begin = rng.randint(0, n - size)
+            for i in range(n):
+                if not begin <= i < begin + size:
+                    swapped[i] = "else"
+            at = rng.sample(range(size), size // 5) if trial > 4 else list(range(trial, size, 5))[: size // 5]
+            for i in at:
+                swapped[begin + i] = "else"
+            texts.append((1000 * n + trial, "before it " + " ".join(swapped) + " behind it"))
+            swapped[begin + min(set(range(size)) - set(at))] = "else"  # one too many
+            texts.append((1000 * n + 500 + trial, " ".join(swapped)))
+    docs = spark.createDataFrame(documents(None, texts), SCHEMA)
+    out = decontamination.digest(docs, spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r["doc_id"], r["best_item"]) for r in out} == {(k, k // 1000) for k, _ in texts if k % 1000 < 500}
