@@ -2,13 +2,15 @@
 
 Method (noisy channel).  A word seen in a text is taken for the output of a channel that replaces letters by look-alikes, repeats them, and puts
 spaces or marks between them.  Each suspicious word spans a lattice of what its characters may stand for; the Viterbi path under a
-character trigram model, counted over all documents, restores it.  Words without such signs have one path and stay.  The restored text is
-scored by word evidence learned from labelled rows: log odds of words and word beginnings, of which the strongest count.
+character trigram model, counted over all documents, restores it.  Words without such signs have one path and stay.  Runs of short tokens span a
+lattice of their own, in which every space may be a word's edge or have been put in; words that its path joins are read besides the tokens, from each of
+their spaces on, and so is any run of them that makes a word of the evidence.  The restored text is scored by word evidence learned from labelled rows: log odds of words and word beginnings, of which the strongest count.
 
 Bounds.  At most ``FIT_ROWS`` labelled rows of each class are learned from: half for the evidence, half for the calibration, weighted back to the classes'
 shares.  At most ``EVIDENCE`` words and ``TRIGRAMS`` trigrams reach the tasks.  The trigrams are counted over every document.
 
-Cases.  Null or empty text, and text without evidence, has the score of no evidence.  Very long texts are read whole.  Without labelled rows of both classes
+Cases.  Null or empty text, and text without evidence, has the score of no evidence.  Very long texts and tokens are read whole; a run
+of more than ``WINDOW`` short tokens is read in windows that share half, so that a word of up to ``WINDOW / 2`` tokens is whole in one.  Without labelled rows of both classes
 every score is the share of label 1 (0 without any).  Repeated rows are scored each; an empty table gives an empty result; other columns are ignored and a null
 key is not held out.
 """
@@ -16,7 +18,7 @@ key is not held out.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -32,8 +34,10 @@ from inkstream.llm.sampling import fit_logistic, labelled_sample, logistic, rema
 FIT_ROWS = 4000
 EVIDENCE = 4000
 TRIGRAMS = 300_000
-#: Restored words remembered by a task.
+#: Restored words remembered by a task, and as many runs and tokens.
 MEMORY = 300_000
+#: Letters and signs of a short token, and how many such tokens a lattice takes.
+SHORT, WINDOW = 4, 64
 
 # fixed values: what a character may stand for besides itself
 LOOKALIKES = {
@@ -43,6 +47,7 @@ LOOKALIKES = {
 #: Costs of the channel, as negative log probabilities.
 SUBSTITUTED, DOUBLED = 0.7, 0.5
 MARK_DROPPED, MARK_DROPPED_OUTSIDE, LOOKALIKE_DROPPED, DIGIT_DROPPED_OUTSIDE = 0.7, 0.1, 6.0, 2.0
+SPACE_DROPPED = 2.0
 _EDGES = ".,;:?\"'`~*%&#)]}[{<>/\\=_-…«»“”’"
 
 
@@ -81,10 +86,9 @@ class CharacterModel:
                 found = self.single.get(letter, self.rare)
         return found
 
-    def restore(self, token: str) -> str:
-        """The most probable letters behind a lower-case token."""
+    def _spell(self, states: dict[str, tuple], token: str) -> dict[str, tuple]:
+        """The states behind a token: by their last two letters, the cost and a chain of what was read."""
         runs = [(c, len(list(g))) for c, g in groupby(token)]
-        states: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
         for at, (c, length) in enumerate(runs):
             outside = at == 0 or at == len(runs) - 1
             options: list[tuple[str, float]] = []
@@ -99,7 +103,7 @@ class CharacterModel:
                     options.append((letter, SUBSTITUTED))
                     if length > 1:
                         options.append((letter + letter, SUBSTITUTED + DOUBLED))
-            following: dict[str, tuple[float, str]] = {}
+            following: dict[str, tuple] = {}
             for last, (cost, text) in states.items():
                 for letters, price in options:
                     total, context = cost + price, last
@@ -108,9 +112,47 @@ class CharacterModel:
                         context = context[1] + letter
                     known = following.get(context)
                     if known is None or total < known[0]:
-                        following[context] = (total, text + letters)
+                        following[context] = (total, (text, letters) if letters else text)
             states = following
-        return min((cost + self.cost(last, " "), text) for last, (cost, text) in states.items())[1]
+        return states
+
+    def _best(self, states: dict[str, tuple]) -> str:
+        ends = [(cost + (self.cost(last, " ") if last != "  " else 0.0), text) for last, (cost, text) in states.items()]
+        least = min(cost for cost, _ in ends)
+        return min(_unchained(text) for cost, text in ends if cost == least)
+
+    def restore(self, token: str) -> str:
+        """The most probable letters behind a lower-case token."""
+        return self._best(self._spell({"  ": (0.0, None)}, token))
+
+    def joins(self, before: str, behind: str) -> bool:
+        """Whether a space between two letters and two letters was rather put in than a word's edge."""
+        edge = self.cost(before, " ") + self.cost("  ", behind[0]) + self.cost(" " + behind[0], behind[1])
+        return SPACE_DROPPED + self.cost(before, behind[0]) + self.cost(before[1] + behind[0], behind[1]) < edge
+
+    def segment(self, tokens: list[str]) -> list[list[str]]:
+        """The most probable words behind lower-case tokens, each as the letters between the spaces put into it."""
+        states: dict[str, tuple] = {"  ": (0.0, None)}
+        for at, token in enumerate(tokens):
+            if at:
+                following: dict[str, tuple] = {}
+                for last, (cost, text) in states.items():
+                    following[last] = (cost + SPACE_DROPPED, (text, "+"))
+                edges = [(cost + (self.cost(last, " ") if last != "  " else 0.0), (text, " ")) for last, (cost, text) in states.items()]
+                edge = min(edges, key=lambda e: e[0])
+                if "  " not in following or edge[0] < following["  "][0]:
+                    following["  "] = edge
+                states = following
+            states = self._spell(states, token)
+        return [[part for part in word.split("+") if part] for word in self._best(states).split(" ")]
+
+
+def _unchained(chain: tuple | None) -> str:
+    parts = []
+    while chain is not None:
+        chain, letters = chain
+        parts.append(letters)
+    return "".join(reversed(parts))
 
 
 def character_counts(documents: DataFrame, text: str = "text", most: int = TRIGRAMS) -> dict[str, int]:
@@ -157,6 +199,11 @@ def _evidence_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in range(4, min(len(word), 10)))]
 
 
+def _local(core: str) -> bool:
+    """Whether the letters of a token stand for themselves and settle what its neighbours see."""
+    return len(core) > 1 and core.isalpha() and all(a != b for a, b in zip(core, core[1:], strict=False))
+
+
 def spelled_out(tokens: list[str]) -> list[str]:
     """Runs of three or more single characters, joined."""
     single = [i for i, t in enumerate(tokens) if len(t) == 1]
@@ -174,23 +221,85 @@ def spelled_out(tokens: list[str]) -> list[str]:
 class Restorer:
     """Words of texts, as they stand and restored; one per task."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], known: Iterable[str] = ()):
         self.model = CharacterModel(counts)
+        self.known = {w for w in known if not w.endswith("*")}
+        self.longest = max(map(len, self.known), default=0)
+        self.cores: dict[str, str | None] = {}
+        self.runs: dict[tuple[str, ...], list[str]] = {}
+        self.joins: dict[str, bool] = {}
 
     def words(self, token: str) -> list[str]:
         core = token.strip(_EDGES)
         plain = core.strip("!$|+(0123456789@")
         out = [plain] if plain else []
-        if _suspicious(core) and len(core) <= 64:
+        if _suspicious(core):
             restored = self.model.restore(core)
             if restored and restored != plain:
                 out.append(restored)
         return out
 
     def tokens(self, text: str) -> set[str]:
-        """Distinct lower-case tokens of a text, spelled-out words joined as well."""
+        """Distinct lower-case tokens of a text, and words joined of short tokens as well."""
         tokens = text.lower().split()
-        return set(tokens).union(spelled_out(tokens))
+        out = set(tokens)
+        cores, run = self.cores, []
+        for token in tokens:
+            core = cores.get(token, token)
+            if core is token:
+                core = token.strip(_EDGES)
+                core = core if len(core) <= SHORT else None
+                if len(cores) >= MEMORY:
+                    cores.clear()
+                cores[token] = core
+            if core is None:
+                if len(run) > 1:
+                    out.update(self._joined(run))
+                run = []
+            elif core:
+                run.append(core)
+        if len(run) > 1:
+            out.update(self._joined(run))
+        return out
+
+    def _joined(self, run: list[str]) -> Iterator[str]:
+        yield from spelled_out(run)
+        for at in range(0, max(1, len(run) - WINDOW // 2), WINDOW // 2):
+            window = tuple(run[at : at + WINDOW])
+            found = self.runs.get(window)
+            if found is None:
+                if len(self.runs) >= MEMORY:
+                    self.runs.clear()
+                found = self.runs[window] = list(self._window(window))
+            yield from found
+
+    def _window(self, window: tuple[str, ...]) -> Iterator[str]:
+        # a space between letters that stand for themselves is settled by two on either side: the lattice ends at such edges
+        for first, word in enumerate(window):
+            for core in window[first + 1 :]:
+                word += core
+                if len(word) > self.longest:
+                    break
+                if word in self.known:
+                    yield word
+        group = [window[0]]
+        for before, core in zip(window, (*window[1:], None), strict=True):
+            if core is None or (_local(before) and _local(core) and not self._joins(before[-2:] + core[:2])):
+                if len(group) > 1:
+                    for parts in self.model.segment(group):
+                        for first in range(len(parts) - 1):
+                            yield "".join(parts[first:])
+                group = []
+            if core is not None:
+                group.append(core)
+
+    def _joins(self, letters: str) -> bool:
+        known = self.joins.get(letters)
+        if known is None:
+            if len(self.joins) >= MEMORY:
+                self.joins.clear()
+            known = self.joins[letters] = self.model.joins(letters[:2], letters[2:])
+        return known
 
 
 # ---- evidence and scores ----
@@ -207,7 +316,7 @@ class Scorer:
     """Strongest evidence of texts; one per task."""
 
     def __init__(self, counts: dict[str, int], evidence: dict[str, float]):
-        self.restorer = Restorer(counts)
+        self.restorer = Restorer(counts, evidence)
         self.evidence = evidence
         self.known: dict[str, float] = {}
 

@@ -130,6 +130,19 @@ def test_disguised_documents_score_high(learned, spark):
     assert [r["predicted"] for r in toxicity.score(df, model).orderBy("doc_id").collect()] == [1, 1, 1, 0, 0, 0]
 
 
+def test_words_parted_by_spaces_and_long_disguises(learned, spark):
+    _, docs, labels = learned
+    restorer = toxicity.Restorer(toxicity.character_counts(docs))
+    for seen in ("the i d i o t ing", "tion a i d i o t keit", "i. d. i. o. t.", "ge on re i d i o t zu er", "und " * 90 + "i d i o t " + "zu " * 90):
+        assert "idiot" in restorer.tokens(seen), seen
+    assert "idiot" in restorer.words("i" * 100 + "d" + "i" * 30 + "ot")
+    assert len(restorer.words("ab1" * 30_000)) == 2
+    model = toxicity.fit(docs, labels, F.col("doc_id").isNotNull())
+    texts = ["the id iot and", "er c lo wn er", "the i. d. i. o. t. on", "und " + "i" * 90 + "diot", "on re a cl own", "the in er on and", "a b c d e f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r["predicted"] for r in toxicity.score(df, model).orderBy("doc_id").collect()] == [1, 1, 1, 1, 1, 0, 0]
+
+
 @pytest.mark.parametrize("name", ["op5_toxicity", "op7_quality", "op10_language_id"])
 def test_held_out_accuracy_on_the_small_tables(spark, name):
     from inkstream.llm.queries import QUERIES
