@@ -24,15 +24,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8, the one with the smallest id stays.
+    """Of each group of rows linked by five-word shingles at 0.8, the first by id, text and other columns stays.
 
-    Of several rows with that id one stays, the one that is first by text and other columns.  Documents with a null id, and those without
-    words, are in no group and stay.
+    Rows are judged, not ids: of rows with one id those that are no near copies all stay, and of equal rows one.  Rows with a null id stay,
+    and so do those without words, which are in no group.
     """
-    groups = ngram_join.similar_groups(docs, n=5, percent=80)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    single = docs.dropDuplicates(["doc_id"]) if _has_repeated_ids(docs) else docs
-    return single.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    if not _has_repeated_ids(docs):
+        groups = ngram_join.similar_groups(docs, n=5, percent=80)
+        kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+        return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.to_json(F.struct(*others)).alias("others"))
+    keyed = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), row))
+    groups = ngram_join.similar_groups(keyed, key="_row", n=5, percent=80)
+    kept = groups.where("_row = component_id").select("_row").distinct()
+    single = keyed.where("doc_id IS NOT NULL").dropDuplicates(["_row"])
+    return single.join(kept, "_row", "left_semi").drop("_row").unionByName(docs.where("doc_id IS NULL"))
 
 
 def _has_repeated_ids(docs: DataFrame) -> bool:

@@ -1,8 +1,9 @@
 import importlib
+import random
 from collections import Counter
 
 from conftest import SMALL
-from data import SCHEMA, awkward, documents
+from data import SCHEMA, awkward, documents, shuffled, words
 
 import corpus_pipeline as C
 from inkstream.llm import decontamination, language_id, ngram_join
@@ -45,6 +46,18 @@ def test_awkward_rows_pass_every_stage(spark):
         assert docs.count()
 
 
+def test_repeated_ids_with_different_texts_are_judged_by_row(spark):
+    rng = random.Random(8)
+    first, second, third, fourth = (words(rng, 60, "abcdefghijklmnopqrstuvwxyz") for _ in range(4))
+    near = first + " end"
+    rows = documents(None, [(1, first), (5, near), (5, second), (5, third), (7, fourth), (7, fourth), (7, fourth + " z"), (8, ""), (None, first)])
+    rows[5] = (*rows[5][:3], "a source that comes first", *rows[5][4:])
+    kept = C.drop_near_copies(spark, spark.createDataFrame(shuffled([*rows, rows[3]]), SCHEMA), SMALL)
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in kept.collect())
+    wanted = [rows[i] for i in (0, 2, 3, 5, 7, 8)]
+    assert got == Counter((r[0], r[1], r[3]) for r in wanted)
+
+
 def test_empty_documents_pass_every_stage(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in C.STAGES:
