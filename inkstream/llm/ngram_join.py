@@ -13,8 +13,8 @@ Method (signature trees).
 3. In each cluster the overlaps are counted exactly, again in pairs of bounded blocks, from 64-bit n-gram hashes.  Links, reduced to a
    spanning forest for each block, give the components.
 
-Only parts that two nodes or more share leave the first step, and every later table holds a row for each node and block at most: no list of all pairs of a group
-is ever made.
+Only parts that two nodes or more share leave the first step, and every later table holds a row for each node and block at most: no list of all pairs of a
+group is ever made.  Blocks are paired, however: a part that M nodes share makes about (M / GROUP_BLOCK)^2 / 2 of them in one task.
 
 Cases.  A text with fewer words than ``n`` is one n-gram of all its words; without words or text the set is empty, links with
 nothing and is its own component.  Repeated rows are equal sets.  Rows with one key are one document for ``component_id`` but each keeps its own
