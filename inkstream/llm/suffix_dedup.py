@@ -37,8 +37,8 @@ from inkstream.llm.arrays import _BYTES, pack, sliding_min, span_hashes, text_sl
 WIDTH = 400
 #: Bytes sorted together; an anchor's segments are never parted.
 SHARD_BYTES = 2 << 20
-#: Up to so many names the names' suffixes are induced too; beyond, they are sorted by doubled ranks.
-INDUCED_NAMES = 2048
+#: Suffixes a bucket needs on average for its waves to be worth an array step each; both forms give one array.
+WAVE = 16
 _U = np.uint64
 
 
@@ -105,25 +105,35 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sizes: np.ndarr
     return out
 
 
-def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of ``names`` by their first ``depth`` names or more."""
-    rank = names.astype(np.int64)
-    step, n = 1, len(names)
-    while True:
-        key = rank * (int(rank.max()) + 2)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.concatenate(([False], key[1:] != key[:-1]))
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(new)
-        step *= 2
-        if step >= depth or new.sum() == n - 1 or step >= n:
-            return order
-
-
-def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``s`` in order of their first ``depth`` symbols at least; ``s`` ends with its only 0."""
+def _induce_small(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same array as :func:`_induce`, suffix by suffix: cheaper where most buckets hold a few suffixes only."""
+    n = len(s)
+    ends = np.cumsum(sizes)
+    into, small = s.tolist(), smaller.tolist()
+    out = [-1] * n
+    tail = ends.tolist()
+    for i in lms[::-1].tolist():
+        tail[into[i]] -= 1
+        out[tail[into[i]]] = i
+    head = (ends - sizes).tolist()
+    for at in range(n):
+        i = out[at] - 1
+        if i >= 0 and not small[i]:
+            c = into[i]
+            out[head[c]] = i
+            head[c] += 1
+    tail = ends.tolist()
+    for at in range(n - 1, -1, -1):
+        i = out[at] - 1
+        if i >= 0 and small[i]:
+            c = into[i]
+            tail[c] -= 1
+            out[tail[c]] = i
+    return np.array(out, dtype=np.int32)
+
+
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """All suffixes of ``s`` in full order; ``s`` ends with its only 0."""
     n = len(s)
     if n < 3:
         return np.arange(n, dtype=np.int32)[::-1]
@@ -133,8 +143,9 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     smaller = np.append(np.repeat(rises, np.diff(np.concatenate(([-1], unequal)))), True)
     lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     sizes = np.bincount(s)
+    induce = _induce if n >= WAVE * np.count_nonzero(sizes) else _induce_small
     rough = lms[np.argsort(s[lms], kind="stable")]
-    induced = _induce(s, smaller, rough, sizes)
+    induced = induce(s, smaller, rough, sizes)
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
     ordered = induced[is_lms[induced]]
@@ -148,13 +159,8 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     name[ordered] = np.cumsum(np.concatenate(([0], (own[1:] != own[:-1]).astype(np.int64))))
     names = name[lms]
     kinds = int(names.max()) + 1
-    if kinds == len(lms):
-        exact = ordered
-    elif kinds <= INDUCED_NAMES:
-        exact = lms[suffix_array(names, depth // 2 + 2)]
-    else:
-        exact = lms[_doubled(names, depth // 2 + 2)]
-    return _induce(s, smaller, exact, sizes)
+    exact = ordered if kinds == len(lms) else lms[suffix_array(names)]
+    return induce(s, smaller, exact, sizes)
 
 
 def common_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -201,7 +207,7 @@ def repeated_starts(contents: list[bytes], width: int) -> list[np.ndarray]:
     body[begins[1:] - 1] = False
     body[-1] = False
     s[body] = np.frombuffer(b"".join(contents), dtype=np.uint8).astype(np.int32) + 2
-    order = suffix_array(s, width).astype(np.int64)
+    order = suffix_array(s).astype(np.int64)
     prefix = common_prefixes(s, order)
     left = np.repeat(lengths + 1, lengths + 1) - (np.arange(begins[-1]) - np.repeat(begins[:-1], lengths + 1)) - 1
     left = np.append(left, 0)  # bytes to the end of the content

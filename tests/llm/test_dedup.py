@@ -94,8 +94,8 @@ def test_empty_tables(spark):
 
 def test_repeated_starts_of_random_strings(monkeypatch):
     rng = random.Random(6)
-    for names in (2048, 2):  # recursion, and doubled ranks
-        monkeypatch.setattr(suffix_dedup, "INDUCED_NAMES", names)
+    for wave in (16, 0, 10**9):  # buckets by waves, and suffix by suffix
+        monkeypatch.setattr(suffix_dedup, "WAVE", wave)
         for _ in range(300):
             letters = rng.choice([1, 2, 3, 26])
             contents = [bytes(rng.choices(range(97, 97 + letters), k=rng.randint(0, 60))) for _ in range(rng.randint(1, 5))]
@@ -103,3 +103,41 @@ def test_repeated_starts_of_random_strings(monkeypatch):
             count = Counter(c[i : i + width] for c in contents for i in range(len(c) - width + 1))
             expected = [[i for i in range(len(c) - width + 1) if count[c[i : i + width]] > 1] for c in contents]
             assert [g.tolist() for g in suffix_dedup.repeated_starts(contents, width)] == expected
+
+
+def glued(rng, n, passages):
+    """Contents of 300 to 4500 bytes, cut from and glued of a few passages."""
+    parts = [bytes(rng.choices(b"abcde fgh", k=rng.randint(350, 1500))) for _ in range(passages)]
+    out = []
+    for _ in range(n):
+        want, content = rng.randint(300, 4500), b""
+        while len(content) < want:
+            part = rng.choice(parts)
+            low = rng.choice([0, 0, rng.randrange(len(part))])
+            content += part[low : rng.choice([len(part), rng.randint(low, len(part))])]
+        out.append(content[:want])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("wave", [16, 10**9])
+def test_repeated_starts_of_glued_passages(monkeypatch, seed, wave):
+    monkeypatch.setattr(suffix_dedup, "WAVE", wave)
+    contents = list(dict.fromkeys(glued(random.Random(seed), 60, 12)))
+    count = Counter(c[i : i + 400] for c in contents for i in range(len(c) - 399))
+    expected = [[i for i in range(len(c) - 399) if count[c[i : i + 400]] > 1] for c in contents]
+    assert [g.tolist() for g in suffix_dedup.repeated_starts(contents, 400)] == expected
+
+
+def test_the_order_is_the_full_order_of_suffixes():
+    rng = random.Random(9)
+    for letters in (2, 30, 3000):
+        text = [rng.randint(1, letters) for _ in range(900)] * 2 + [0]
+        order = suffix_dedup.suffix_array(np.array(text, dtype=np.int64)).tolist()
+        assert order == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_documents_glued_of_shared_passages(spark):
+    rows = [(i, c.decode()) for i, c in enumerate(glued(random.Random(40), 150, 20))]
+    df = spark.createDataFrame(documents(None, rows), SCHEMA).repartition(3)
+    assert Counter(tuple(r) for r in suffix_dedup.digest(df).collect()) == brute_bytes(rows, 400)
