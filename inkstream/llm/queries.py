@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from inkstream.llm import (
-    decontamination, language_id, neighbours, ngram_join, quality, sentencepiece_codec, substring_dedup, suffix_dedup,
-    token_counts, toxicity,
+    decontamination, language_id, neighbours, ngram_join, periodic_runs, quality, sentencepiece_codec, substring_dedup,
+    suffix_dedup, token_counts, toxicity,
 )
 
 #: The vocabulary of the token queries.
@@ -58,6 +58,10 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(_table(spark, folder, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digest(_table(spark, folder, "documents"), rewrite=periodic_runs.repeat_tail)
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_token_counts": op2_token_counts,
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 
