@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from inkstream.llm import (
-    decontamination, language_id, neighbours, ngram_join, periodic_runs, quality, sentencepiece_codec, substring_dedup,
-    suffix_dedup, token_counts, toxicity,
+    decontamination, language_id, neighbours, ngram_join, packing, periodic_runs, quality, sentencepiece_codec,
+    substring_dedup, suffix_dedup, token_counts, toxicity,
 )
 
 #: The vocabulary of the token queries.
 MODEL = "piece_bpe_32k.model"
+#: The vocabulary of packing.
+PACKING_MODEL = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,6 +60,10 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(_table(spark, folder, "documents"))
 
 
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.digest(_table(spark, folder, "documents"), public_tokenizers.path(PACKING_MODEL))
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.digest(_table(spark, folder, "documents"), rewrite=periodic_runs.repeat_tail)
 
@@ -73,6 +79,7 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
+    "op12_packing": op12_packing,
     "op13_periodic_runs": op13_periodic_runs,
 }
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
