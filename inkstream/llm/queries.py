@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from inkstream.llm import (
-    decontamination, language_id, neighbours, ngram_join, packing, periodic_runs, quality, sentencepiece_codec,
-    substring_dedup, suffix_dedup, token_counts, toxicity,
+    decontamination, language_id, lexical_search, neighbours, ngram_join, packing, periodic_runs, quality,
+    sentencepiece_codec, substring_dedup, suffix_dedup, token_counts, toxicity,
 )
 
 #: The vocabulary of the token queries.
@@ -60,6 +60,10 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(_table(spark, folder, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.digest(_table(spark, folder, "documents"), public_tokenizers.path(PACKING_MODEL))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
+    "op11_lexical_search": op11_lexical_search,
     "op12_packing": op12_packing,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -104,8 +109,19 @@ kept AS (SELECT placed.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY plac
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
 
+_SEARCH = r"""WITH d AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents) WHERE len(w) > 0),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY 1, 2),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY 1, 2, 3),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, total GROUP BY 1),
+impact AS (SELECT doc_id, p.t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS s FROM p JOIN weights ON weights.t = p.t, total),
+scores AS (SELECT item_id, doc_id, CAST(sum(times * s) AS BIGINT) AS score FROM q JOIN impact ON impact.t = q.t GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 20"""
+
 #: The suffix query has none: cutting every 400 bytes out of a text takes SQL minutes on whole tables.
 ORACLES: dict[str, str] = {
     "op1_ngram_join": _NGRAM_JOIN,
     "op3_substring_dedup": _SUBSTRINGS,
+    "op11_lexical_search": _SEARCH,
 }
