@@ -9,7 +9,8 @@ through a table that has at most (number of ranges + number of keys) rows.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ from inkstream.session import ensure_checkpoint_dir
 
 _PID = "_range_id"
 
+#: Tables written inside each open :func:`scratch` block.
+_owned: list[list[DataFrame]] = []
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared checkpoint folder.
@@ -34,9 +38,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if _owned:
+        _owned[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Owns what :func:`cut_lineage` writes inside: it is removed at the end of the block.
+
+    For steps that write their result themselves, as micro-batches do.
+    """
+    _owned.append([])
+    try:
+        yield
+    finally:
+        release(*_owned.pop())
+
+
 def release(*tables: DataFrame) -> None:
     """Remove tables that :func:`cut_lineage` wrote, when nothing reads them any more."""
     for table in tables:

@@ -431,10 +431,22 @@ def duration_anomalies(df: DataFrame, scope: str = "trailing_hour") -> DataFrame
         limit = df.agg((F.avg(x) + ANOMALY_SIGMAS * F.stddev_samp(x)).alias("limit"))
         return rows.where(x > limit.scalar())
 
-    # rows of one instant count once; values around the global mean keep the sums small
+    # values around the global mean keep the sums small
     centre = df.select(F.avg(x)).scalar()
-    centred = df.where(x.isNotNull()).select(F.col(TS).alias("at"), (x - centre).alias("x"))
-    per = centred.groupBy("at").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    limits = trailing_limits(instant_sums(df, centre), centre).withColumnRenamed("at", TS)
+    return rows.join(limits, TS).where(x > F.col("limit")).select(*cols)
+
+
+def instant_sums(df: DataFrame, centre: Column) -> DataFrame:
+    """``at, n, s, q``: durations less ``centre`` of every instant, their number, sum and sum of squares."""
+    centred = df.where(F.col("processing_duration").isNotNull()).select(
+        F.col(TS).alias("at"), (F.col("processing_duration") - centre).alias("x")
+    )
+    return centred.groupBy("at").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+
+
+def trailing_limits(per: DataFrame, centre: Column) -> DataFrame:
+    """``at, limit``: mean + 2 sample deviations of the hour up to each instant of ``instant_sums``, where it has two values."""
     # each instant enters at its time and leaves just behind an hour later
     hour = F.expr("INTERVAL 1 HOUR")
     moves = F.array(
@@ -448,10 +460,9 @@ def duration_anomalies(df: DataFrame, scope: str = "trailing_hour") -> DataFrame
     n, total = F.col("count"), F.col("total")
     mean = F.try_divide(total, n)
     var = F.try_divide(F.col("squares") - total * mean, n - 1)
-    limits = running.where("kind = 0 AND count > 1").select(
-        F.col("t").alias(TS), (centre + mean + ANOMALY_SIGMAS * F.sqrt(F.greatest(var, F.lit(0.0)))).alias("limit")
+    return running.where("kind = 0 AND count > 1").select(
+        F.col("t").alias("at"), (centre + mean + ANOMALY_SIGMAS * F.sqrt(F.greatest(var, F.lit(0.0)))).alias("limit")
     )
-    return rows.join(limits, TS).where(x > F.col("limit")).select(*cols)
 
 
 # --- configurable transforms ---

@@ -15,6 +15,7 @@ from inkstream.session import ensure_checkpoint_dir
 from inkstream.sources.streams import fan_out
 from inkstream.sources.views import StreamTables, Tables
 from inkstream.streaming import jobs as S
+from inkstream.streaming.anomalies import TrailingAnomalies
 from inkstream.streaming.tables import Versioned
 
 EV = ("doc_events",)
@@ -34,6 +35,27 @@ def _naive(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in df.dtypes if t == "timestamp"})
 
 
+def _arrivals(t: Tables, root: str) -> DataFrame:
+    """The document events as a stream of files, ten days each, one file per micro-batch.
+
+    A tenth of the events of a file's last six hours arrive with the next one.
+    """
+    rows = _zoned(t.doc_events())
+    days = F.unix_micros("event_time") / 86_400_000_000
+    late = (F.col("document_id") % 10 == 3) & (F.pmod(days, F.lit(10.0)) >= 9.75)
+    rows = rows.withColumn("part", (F.floor(days / 10) + late.cast("int")).cast("int"))
+    rows.write.parquet(f"{root}/all")
+    saved = t.spark.read.schema(rows.schema).parquet(f"{root}/all")
+    for part in sorted(r["part"] for r in saved.select("part").distinct().collect()):  # a few dozen for any number of events
+        saved.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    plain = saved.drop("part").schema
+    return t.spark.readStream.schema(plain).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+
+def _zoned(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
+
+
 @query("sliding", """WITH w AS (SELECT event_time, document_type, processing_duration, unnest([0, 1, 2]) AS i FROM doc_events)
 ---
 SELECT time_bucket(INTERVAL 2 HOUR, event_time) + to_hours(2 * (i + 1)) AS window_end, document_type, count(*) AS document_count,
@@ -97,6 +119,22 @@ _closed_windows("entity_analytics", "1 day")
 _closed_windows("realtime_alerts", "6 hours", "alert_time")
 
 
+@query(
+    "stream_duration_anomalies",
+    f"""SELECT * FROM ({REGISTRY["duration_anomalies"].sql}) AS b
+WHERE event_time < (SELECT max(event_time) - INTERVAL 12 HOUR FROM doc_events)""",
+    EV,
+    floats=("processing_duration",),
+)
+def _(t: Tables):
+    """Slow documents by their trailing hour, over several micro-batches with rows that come late."""
+    root = _folder(t.spark)
+    stream = _arrivals(t, root)
+    job = TrailingAnomalies(f"{root}/anomalies", "12 hours")
+    last = _last(S.run_batches(stream, job.step(), f"{root}/checkpoint"))
+    return _naive(job.found(t.spark, last))
+
+
 _HOUR = "time_bucket(INTERVAL 1 HOUR, event_time) + INTERVAL 1 HOUR"
 
 
