@@ -38,7 +38,7 @@ WIDTH = 400
 #: Bytes sorted together; an anchor's segments are never parted.
 SHARD_BYTES = 2 << 20
 #: Suffixes a bucket needs on average for its waves to be worth an array step each; both forms give one array.
-WAVE = 16
+WAVE = 64
 _U = np.uint64
 
 

@@ -94,7 +94,7 @@ def test_empty_tables(spark):
 
 def test_repeated_starts_of_random_strings(monkeypatch):
     rng = random.Random(6)
-    for wave in (16, 0, 10**9):  # buckets by waves, and suffix by suffix
+    for wave in (64, 0, 10**9):  # buckets by waves, and suffix by suffix
         monkeypatch.setattr(suffix_dedup, "WAVE", wave)
         for _ in range(300):
             letters = rng.choice([1, 2, 3, 26])
@@ -120,7 +120,7 @@ def glued(rng, n, passages):
 
 
 @pytest.mark.parametrize("seed", range(12))
-@pytest.mark.parametrize("wave", [16, 10**9])
+@pytest.mark.parametrize("wave", [64, 10**9])
 def test_repeated_starts_of_glued_passages(monkeypatch, seed, wave):
     monkeypatch.setattr(suffix_dedup, "WAVE", wave)
     contents = list(dict.fromkeys(glued(random.Random(seed), 60, 12)))
