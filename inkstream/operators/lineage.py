@@ -1,19 +1,25 @@
 """Lineage graph: assets, typed edges, reachability and impact.
 
-Closures are breadth-first: each round joins the frontier with the edges, removes what was
-seen and writes the rest as a table in the checkpoint folder.  The driver only learns whether a round
-found anything.
+Closures without paths are one breadth-first search for all starts and both directions.  Starts are numbered and packed
+64 to a word: a row is a node with the mask of the starts that reach it, and one ``bit_or`` per round moves them all a step on.
+So a round has at most (nodes x starts / 64) rows, and counts and depths per start come from the new bits of the rounds without
+unpacking them.  Each round writes its new bits as a table in the checkpoint folder; the driver only learns whether it found anything.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.functions.distributed import cut_lineage
+from inkstream.functions.distributed import cut_lineage, number_rows
 
 #: Rounds after which the seen set is rewritten as one table.
 COMPACT_EVERY = 8
+#: Starts in a word.
+BITS = 64
+BOTH = ("downstream", "upstream")
 
 
 def lineage_edges(catalog: DataFrame, fks: DataFrame) -> DataFrame:
@@ -47,6 +53,66 @@ def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     return edges.select(F.col(a).alias("_from"), F.col(b).alias("_to")).distinct()
 
 
+def numbered_starts(starts: DataFrame) -> DataFrame:
+    """``start, word, bit``: the distinct starts, 64 to a word."""
+    one = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
+    place = F.col("row_no") - 1
+    return cut_lineage(
+        number_rows(one, [], ["start"]).select("start", F.floor(place / BITS).alias("word"), (place % BITS).cast("int").alias("bit"))
+    )
+
+
+def levels(
+    edges: DataFrame, numbered: DataFrame, directions: Sequence[str] = BOTH, max_hops: int | None = None, target: object | None = None
+) -> DataFrame:
+    """``direction, node, word, mask, distance``: the starts that reach a node first in that many steps.
+
+    A node that was seen never returns to a start, so cycles end and a start is not its own descendant.
+    """
+    step = None
+    for way in directions:
+        one = _oriented(edges, way).withColumn("direction", F.lit(way))
+        step = one if step is None else step.unionByName(one)
+    step = cut_lineage(step)  # read once per round
+    keys = ["direction", "node", "word"]
+    own = F.expr("shiftleft(1L, bit)").alias("mask")
+    seeds = numbered.select(F.explode(F.lit(list(directions))).alias("direction"), F.col("start").alias("node"), "word", own)
+    frontier = cut_lineage(seeds.groupBy(*keys).agg(F.bit_or("mask").alias("mask")))
+    seen, found, hops = frontier, [], 0
+    while max_hops is None or hops < max_hops:
+        hops += 1
+        at = (F.col("f.direction") == F.col("s.direction")) & (F.col("f.node") == F.col("s._from"))
+        moved = frontier.alias("f").join(step.alias("s"), at).select("f.direction", F.col("s._to").alias("node"), "f.word", "f.mask")
+        zero = F.lit(0).cast("bigint")
+        both = moved.withColumn("old", zero).unionByName(seen.select(*keys, zero.alias("mask"), F.col("mask").alias("old")))
+        grown = both.groupBy(*keys).agg(F.bit_or("mask").alias("mask"), F.bit_or("old").alias("old"))
+        fresh = grown.select(*keys, F.col("mask").bitwiseAND(F.bitwise_not("old")).alias("mask")).where("mask <> 0")
+        frontier = cut_lineage(fresh)
+        if frontier.isEmpty():
+            break
+        found.append(frontier.withColumn("distance", F.lit(hops)))
+        seen = seen.unionByName(frontier)
+        if hops % COMPACT_EVERY == 0:
+            seen = cut_lineage(seen.groupBy(*keys).agg(F.bit_or("mask").alias("mask")))
+        if target is not None and not frontier.where(F.col("node") == target).isEmpty():
+            break
+    out = seeds.where("false").withColumn("distance", F.lit(0))
+    for level in found:
+        out = out.unionByName(level)
+    return out
+
+
+def per_start(masks: DataFrame, numbered: DataFrame) -> DataFrame:
+    """``start, direction, distance, n``: how many nodes each start first reaches at each distance.
+
+    Bits are counted by place on the map side, so what is shuffled is a row for each word, direction, distance and task.
+    """
+    counts = [F.sum(F.shiftrightunsigned("mask", i).bitwiseAND(F.lit(1))) for i in range(BITS)]
+    per_word = masks.groupBy("word", "direction", "distance").agg(F.array(*counts).alias("counts"))
+    single = per_word.select("word", "direction", "distance", F.posexplode("counts").alias("bit", "n")).where("n > 0")
+    return single.join(numbered, ["word", "bit"]).select("start", "direction", "distance", "n")
+
+
 def reachable(
     edges: DataFrame,
     starts: DataFrame,
@@ -61,20 +127,34 @@ def reachable(
     a start is not its own descendant.  Among shortest paths the smallest array is kept.
     ``target`` stops the search once that node was reached.
     """
+    if with_path:
+        return _with_paths(edges, starts, direction, max_hops, target)
+    numbered = numbered_starts(starts)
+    masks = levels(edges, numbered, [direction], max_hops, target)
+    return _unpacked(masks, numbered).select("start", "node", "distance")
+
+
+def _unpacked(masks: DataFrame, numbered: DataFrame) -> DataFrame:
+    """``start, direction, node, distance``, a row for each set bit."""
+    places = F.expr(f"filter(sequence(0, {BITS - 1}), i -> getbit(mask, i) = 1)")
+    single = masks.select("direction", "node", "word", "distance", F.explode(places).alias("bit"))
+    return single.join(numbered, ["word", "bit"]).select("start", "direction", "node", "distance")
+
+
+def _with_paths(
+    edges: DataFrame, starts: DataFrame, direction: str, max_hops: int | None = None, target: object | None = None
+) -> DataFrame:
+    """The closure with the smallest shortest path of every pair."""
     step = cut_lineage(_oriented(edges, direction))  # read once per round
     first = F.col(starts.columns[0])
-    seeds = starts.select(first.alias("start"), first.alias("node"), F.lit(0).alias("distance")).distinct()
-    if with_path:
-        seeds = seeds.withColumn("path", F.array("node"))
+    seeds = starts.select(first.alias("start"), first.alias("node"), F.lit(0).alias("distance"), F.array(first).alias("path")).distinct()
     frontier = cut_lineage(seeds)
     seen, hops = frontier, 0
     while max_hops is None or hops < max_hops:
         hops += 1
         grown = frontier.join(step, F.col("node") == F.col("_from"))
-        aggs: list[Column] = [F.lit(hops).alias("distance")]
-        if with_path:
-            aggs.append(F.min(F.concat("path", F.array("_to"))).alias("path"))
-        fresh = grown.groupBy("start", F.col("_to").alias("node")).agg(*aggs)
+        path = F.min(F.concat("path", F.array("_to"))).alias("path")
+        fresh = grown.groupBy("start", F.col("_to").alias("node")).agg(F.lit(hops).alias("distance"), path)
         frontier = cut_lineage(fresh.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         if frontier.isEmpty():
             break
@@ -99,35 +179,32 @@ def data_flow(edges: DataFrame, source: object, target: object) -> DataFrame:
     return found.select(F.col("distance").alias("path_length"), F.inline(steps))
 
 
-def _both(edges: DataFrame, starts: DataFrame, with_path: bool = False) -> DataFrame:
-    down = reachable(edges, starts, "downstream", with_path).withColumn("direction", F.lit("downstream"))
-    up = reachable(edges, starts, "upstream", with_path).withColumn("direction", F.lit("upstream"))
-    if with_path:  # upstream paths read from the ancestor to the start
-        up = up.withColumn("path", F.reverse("path"))
-    return down.unionByName(up)
+def _both(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    down = _with_paths(edges, starts, "downstream").withColumn("direction", F.lit("downstream"))
+    up = _with_paths(edges, starts, "upstream").withColumn("direction", F.lit("upstream"))
+    # upstream paths read from the ancestor to the start
+    return down.unionByName(up.withColumn("path", F.reverse("path")))
 
 
 def lineage_depth(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Largest shortest-path distance in either direction (0 for an isolated asset)."""
-    deep = _both(edges, starts).groupBy("start").agg(F.max("distance").alias("d"))
-    base = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
-    return base.join(deep, "start", "left").select("start", F.coalesce("d", F.lit(0)).alias("lineage_depth"))
+    numbered = numbered_starts(starts)
+    deep = per_start(levels(edges, numbered), numbered).groupBy("start").agg(F.max("distance").alias("d"))
+    return numbered.join(deep, "start", "left").select("start", F.coalesce("d", F.lit(0)).alias("lineage_depth"))
 
 
 def impact_score(edges: DataFrame, starts: DataFrame, assets: DataFrame) -> DataFrame:
     """Descendants plus ancestors as a share of all assets, at most 1."""
-    touched = _both(edges, starts).groupBy("start").agg(F.count(F.lit(1)).alias("n"))
-    base = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
+    numbered = numbered_starts(starts)
+    touched = per_start(levels(edges, numbered), numbered).groupBy("start").agg(F.sum("n").alias("n"))
     total = assets.select(F.count(F.lit(1))).scalar()
     share = F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)), total), F.lit(0.0))
-    return base.join(touched, "start", "left").select(
-        "start", F.least(share, F.lit(1.0)).alias("impact_score")
-    )
+    return numbered.join(touched, "start", "left").select("start", F.least(share, F.lit(1.0)).alias("impact_score"))
 
 
 def impact_analysis(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Counts and depths per start, and the closure rows with a shortest path each."""
-    rows = cut_lineage(_both(edges, starts, with_path=True))
+    rows = cut_lineage(_both(edges, starts))
     down, up = F.col("direction") == "downstream", F.col("direction") == "upstream"
     zero = F.lit(0)
     counted = rows.groupBy("start").agg(
