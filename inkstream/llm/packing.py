@@ -13,7 +13,8 @@ Method (multiway differencing of Karmarkar and Karp).
    one window, joins the items of the next group.  The last remainder of a task is cut into windows whose lengths are powers of two.
 
 Token ids come from the library.  Where the vocabulary file shows that a text's pre-tokens never reach across white space (:func:`cuts_at_space`), each
-distinct word is encoded once while a bounded table remembers it, and a text's ids are those of its words.
+distinct word is encoded once while a bounded table remembers it, and a text's ids are those of its words; a word of lower-case letters is one pre-token and goes
+straight to the library's merges.
 
 Everything is a map over the rows: nothing is shuffled, and memory is a block of texts, a group of items, and the table.  Sequence ids are the number of the task's
 partition and a count, so a task that runs again gives the same ones.
@@ -27,7 +28,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +59,16 @@ _NORMALISERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"
 _MARK = re.compile(rb"(?<=[A-Za-z])([,.])(?=[ \n])")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: itself where it is visible, one behind all bytes otherwise."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
 def cuts_at_space(spec: dict) -> bool:
     """Whether the ids of a text are those of its words, cut at ASCII white space, one after the other.
 
@@ -81,6 +94,7 @@ class WordEncoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.cuts = cuts_at_space(spec)
+        self.merges = self.library.model.tokenize
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.memory = memory
         self.known: dict[bytes, bytes] = {}
@@ -88,9 +102,18 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        for first in range(0, len(words), WORDS_AT_ONCE):
-            part = words[first : first + WORDS_AT_ONCE]
+    def _learn(self, words: list[bytes], one: bool) -> None:
+        """Remember the ids of words; ``one``: lower-case letters only are one pre-token, which goes straight to the merges."""
+        rest = []
+        for w in words:
+            letters = w.decode()
+            if one and letters.isalpha() and letters == letters.lower():
+                merged = self.merges(letters if w.isascii() else w.decode("latin-1").translate(_LETTERS))
+                self.known[w] = array("I", [t.id for t in merged]).tobytes()
+            else:
+                rest.append(w)
+        for first in range(0, len(rest), WORDS_AT_ONCE):
+            part = rest[first : first + WORDS_AT_ONCE]
             done = self.library.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(done.ids, dtype="<u4").tobytes()
             owner = np.array(done.word_ids, dtype=np.int64)
@@ -98,19 +121,31 @@ class WordEncoder:
             for w, low, high in zip(part, edges, edges[1:], strict=False):
                 self.known[w] = ids[low:high]
 
+    def _words(self, text: str) -> tuple[list[bytes], bool]:
+        """The words of a text, and whether normalising only lowers them.
+
+        A-Z are lowered here where neither the text nor the lowered one has anything to compose.
+        """
+        data = text.encode()
+        plain = is_normalized("NFC", text)
+        if plain:
+            low = data.lower()
+            data = low if is_normalized("NFC", low.decode()) else data
+        return _MARK.sub(rb" \1", data).split(), plain
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without an end id."""
         if not self.cuts:
             return [self._whole(t) for t in texts]
-        plain = [not any(s in t for s in self.special) for t in texts]
-        words = [_MARK.sub(rb" \1", t.encode()).split() if p else [] for t, p in zip(texts, plain, strict=True)]
-        unknown = set().union(*words).difference(self.known)
-        if len(self.known) + len(unknown) > self.memory:
+        special = [any(s in t for s in self.special) for t in texts]
+        words, plain = zip(*((([], False) if s else self._words(t)) for s, t in zip(special, texts, strict=True)), strict=True) if texts else ((), ())
+        parts = [set().union(*(w for w, p in zip(words, plain, strict=True) if p == kind)) for kind in (True, False)]
+        if len(self.known) + sum(len(p.difference(self.known)) for p in parts) > self.memory:
             self.known = {}
-            unknown = set().union(*words)
-        self._learn(list(unknown))
+        for part, kind in zip(parts, (True, False), strict=True):
+            self._learn(list(part.difference(self.known)), kind)
         ids = [b"".join(map(self.known.__getitem__, w)) for w in words]
-        return [i if p else self._whole(t) for i, p, t in zip(ids, plain, texts, strict=True)]
+        return [self._whole(t) if s else i for i, s, t in zip(ids, special, texts, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
