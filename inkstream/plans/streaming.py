@@ -16,6 +16,8 @@ from inkstream.sources.streams import fan_out
 from inkstream.sources.views import StreamTables, Tables
 from inkstream.streaming import jobs as S
 from inkstream.streaming.anomalies import TrailingAnomalies
+from inkstream.streaming.fanout import SharedOutputs
+from inkstream.streaming.store import ChangeStore
 from inkstream.streaming.tables import Versioned
 
 EV = ("doc_events",)
@@ -77,15 +79,15 @@ def _(t: Tables):
 
 
 def _windowed(name: str, width: str, keys: list[str]) -> None:
-    """A windowed output as a stream: changed windows are merged by key in every micro-batch."""
+    """A windowed output as a stream: changed windows are stored by key in every micro-batch."""
 
     @query(f"stream_{name}", same_as=name)
     def _(t: Tables):
         root = _folder(t.spark)
         stream = S.WINDOWED[name](StreamTables(t.spark, t.folder).doc_events(), width, watermark="1 day")
-        table = Versioned(f"{root}/{name}", stream.schema)
-        job = S.run_batches(stream, S.upsert_into(table, keys), f"{root}/checkpoint", mode="update")
-        return _naive(table.at(t.spark, _last(job)))
+        store = ChangeStore(f"{root}/{name}", stream.schema, tuple(keys))
+        job = S.run_batches(stream, S.upsert_into(store), f"{root}/checkpoint", mode="update")
+        return _naive(store.at(t.spark, _last(job)))
 
 
 _windowed("document_type_distribution", "1 hour", ["window_end", "document_type"])
@@ -135,56 +137,107 @@ def _(t: Tables):
     return _naive(job.found(t.spark, last))
 
 
-_HOUR = "time_bucket(INTERVAL 1 HOUR, event_time) + INTERVAL 1 HOUR"
-
-
-def _closed(name: str, keys: str, rows: str) -> str:
-    """Windows that end before the watermark, which follows the rows a query keeps."""
-    return f"""SELECT '{name}' AS output, count(DISTINCT ({_HOUR}, {keys})) AS windows, count(*) AS documents FROM {rows}
-WHERE {_HOUR} <= (SELECT max(event_time) FROM {rows}) - INTERVAL 1 HOUR"""
+#: Width and columns of the outputs of the stream; times and floating-point columns are compared as integers.
+_FAN = {
+    "performance_metrics": ("1 hour", "window_end total_documents avg_processing_duration max_processing_duration min_processing_duration "
+        "successful_documents failed_documents avg_confidence avg_file_size success_rate"),
+    "document_type_distribution": ("1 hour", "window_end document_type document_count avg_processing_duration avg_confidence success_count "
+        "failure_count success_rate"),
+    "sentiment_trends": ("6 hours", "window_end sentiment document_type document_count avg_sentiment_score avg_confidence"),
+    "language_analytics": ("6 hours", "window_end detected_language document_count avg_processing_duration avg_confidence success_count success_rate"),
+    "error_analysis": ("1 hour", "window_end error_code error_message document_type error_count avg_duration_before_error"),
+    "user_activity": ("1 day", "window_end user_id documents_processed avg_processing_duration total_file_size unique_document_types avg_confidence"),
+    "throughput_analysis": ("1 hour", "window_end documents avg_processing_duration total_data_processed active_users document_types_processed"),
+    "quality_metrics_window": ("6 hours", "window_end document_type avg_confidence high_confidence_docs medium_confidence_docs low_confidence_docs "
+        "total_docs high_confidence_rate"),
+    "entity_analytics": ("1 day", "window_end document_type entity_type entity_count avg_entity_confidence documents_with_entity"),
+    "realtime_alerts": ("6 hours", "alert_time alert_type alert_message document_type event_count metric_value"),
+    "duration_anomalies": (None, "event_time document_id processing_duration document_type user_id"),
+}
+_TIMES = ("window_end", "alert_time", "event_time")
+
+
+def _fan_sql() -> str:
+    """Every output over the whole table, up to the watermark, a row of text for each row."""
+    parts = []
+    for name, (width, columns) in _FAN.items():
+        digits, first = REGISTRY[name].digits, columns.split()[0]
+        texts = [
+            f"epoch_us({c})" if c in _TIMES else f"CAST(round({c} * 1e{digits[c]}) AS BIGINT)" if c in digits else c for c in columns.split()
+        ]
+        row = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in texts)
+        until = f"{first} {'<=' if width else '<'} (SELECT max(event_time) - INTERVAL 12 HOUR FROM doc_events)"
+        parts.append(f"SELECT '{name}' AS output, concat_ws('|', {row}) AS row FROM ({REGISTRY[name].sql}) AS b WHERE {until}")
+    return " UNION ALL ".join(parts)
+
+
+@query("stream_fan_out", _fan_sql(), EV)
+def _(t: Tables):
+    """The eleven outputs of one stream, from one job over several micro-batches with rows that come late."""
+    root = _folder(t.spark)
+    stream = _arrivals(t, root)
+    outputs = S.stream_outputs({name: width for name, (width, _) in _FAN.items() if width})
+    shared = SharedOutputs(f"{root}/shared", outputs, stream.schema, "12 hours", "1 day")
+    last = _last(S.run_batches(stream, shared.step(), f"{root}/checkpoint"))
+    out = None
+    for name, (_, columns) in _FAN.items():
+        digits = REGISTRY[name].digits
+        texts = [
+            F.unix_micros(c) if c in _TIMES else F.round(F.col(c) * 10.0 ** digits[c]).cast("bigint") if c in digits else F.col(c)
+            for c in columns.split()
+        ]
+        row = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in texts])
+        rows = shared.output(t.spark, name, last).select(F.lit(name).alias("output"), row.alias("row"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query(
-    "stream_fan_out",
-    _closed("language_analytics", "detected_language", "(SELECT * FROM doc_events WHERE detected_language IS NOT NULL)")
-    + " UNION ALL "
-    + _closed("error_analysis", "error_code, error_message, document_type", "(SELECT * FROM doc_events WHERE NOT success)")
-    + " UNION ALL "
-    + _closed("entity_analytics", "document_type, entity_type", "doc_entities"),
-    ("doc_events", "doc_entities"),
+    "stream_sessions",
+    f"""SELECT * FROM ({REGISTRY["sessions"].sql}) AS b WHERE session_end <= (SELECT max(event_time) - INTERVAL 12 HOUR FROM doc_events)""",
+    EV,
 )
 def _(t: Tables):
-    """Closed windows of three outputs of one input, each written by its own query."""
+    """Sessions that the watermark has closed, over several micro-batches with rows that come late."""
     root = _folder(t.spark)
-    stream = StreamTables(t.spark, t.folder).doc_events()
-    outputs = S.stream_outputs(stream, watermark="1 hour", width="1 hour")
-    chosen = {"language_analytics": "document_count", "error_analysis": "error_count", "entity_analytics": "entity_count"}
-    for job in fan_out({n: outputs[n] for n in chosen}, root, f"{root}/checkpoint").values():
-        job.awaitTermination()
-    out = None
-    for name, count in chosen.items():
-        rows = t.spark.read.parquet(f"{root}/{name}").agg(
-            F.lit(name).alias("output"), F.count(F.lit(1)).alias("windows"), F.sum(count).alias("documents")
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    out = W.sessions(_arrivals(t, root), "2 hours", watermark="12 hours")
+    fan_out({"sessions": out}, root, f"{root}/checkpoint")["sessions"].awaitTermination()
+    return _naive(t.spark.read.schema(out.schema).parquet(f"{root}/sessions"))
+
+
+@query("stream_sliding", same_as="sliding")
+def _(t: Tables):
+    """Sliding windows over several micro-batches with rows that come late: changed windows are stored by key."""
+    root = _folder(t.spark)
+    aggs = {"document_count": F.count(F.lit(1)), "avg_processing_duration": F.avg("processing_duration")}
+    stream = W.tumbling(_arrivals(t, root), "6 hours", ["document_type"], aggs, "12 hours", "2 hours")
+    store = ChangeStore(f"{root}/sliding", stream.schema, ("window_end", "document_type"))
+    job = S.run_batches(stream, S.upsert_into(store), f"{root}/checkpoint", mode="update")
+    return _naive(store.at(t.spark, _last(job)))
+
+
+#: Life-cycle events that have not expired after two days, in the place of the store.
+_LIVE = """(SELECT * FROM (SELECT *, max(timestamp) OVER (PARTITION BY aggregate_id) AS last, max(timestamp) OVER () AS newest FROM store
+  WHERE k % 5 <> 4) AS s WHERE last >= newest - INTERVAL 2 DAY AND timestamp >= last - INTERVAL 2 DAY) AS live WHERE"""
 
 
 @query(
     "document_lifecycle",
     f"""SELECT *, CASE WHEN retry_count < 3 THEN retry_count + 1 END AS next_retry,
-  CASE WHEN retry_count < 3 THEN failed_at + INTERVAL 5 MINUTE END AS retry_at FROM ({REGISTRY['replay'].sql}) AS r""",
+  CASE WHEN retry_count < 3 THEN failed_at + INTERVAL 5 MINUTE END AS retry_at
+FROM ({REGISTRY['replay'].sql.replace("FROM store WHERE", "FROM " + _LIVE)}) AS r""",
     floats=("processing_duration",),
 )
 def _(t: Tables):
-    """Versioned events over several micro-batches; the record of every document at the end."""
+    """Versioned events over several micro-batches; the record of every document that has not expired at the end."""
     root = _folder(t.spark)
     store(t).withColumn("timestamp", F.col("timestamp").cast("timestamp")).write.parquet(f"{root}/store")
     saved = t.spark.read.parquet(f"{root}/store")
     stream = t.spark.readStream.schema(saved.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/store")
-    table = Versioned(f"{root}/newest", S.NEWEST)
-    job = S.run_batches(stream, S.keep_newest(table), f"{root}/checkpoint")
-    return _naive(S.document_records(table.at(t.spark, _last(job))).drop("processing_result"))
+    events = S.newest_events(f"{root}/newest", "2 DAYS")
+    job = S.run_batches(stream, S.keep_newest(events), f"{root}/checkpoint")
+    live = S.live_events(events.at(t.spark, _last(job)), "2 DAYS")
+    return _naive(S.document_records(live).drop("processing_result"))
 
 
 @query(
@@ -243,12 +296,13 @@ def _(t: Tables):
 def _post(name: str) -> None:
     @query(f"stream_{name}", same_as=name)
     def _(t: Tables):
+        """Over several micro-batches with rows that come late."""
         root = _folder(t.spark)
         width = "1 hour" if name == "moving_average" else "6 hours"
-        stream = W.window_averages(StreamTables(t.spark, t.folder).doc_events(), width, watermark="1 day")
-        table = Versioned(f"{root}/windows", S.WINDOW_ROWS)
-        job = S.run_batches(stream, S.post_windows(table, root), f"{root}/checkpoint", mode="update")
-        return _naive(t.spark.read.parquet(f"{root}/{name}/v={_last(job)}"))
+        stream = W.window_averages(_arrivals(t, root), width, watermark="1 day")
+        post = S.PostWindows(f"{root}/post", width)
+        last = _last(S.run_batches(stream, post.step(), f"{root}/checkpoint", mode="update"))
+        return _naive(post.results(t.spark, name).at(t.spark, last))
 
 
 _post("moving_average")

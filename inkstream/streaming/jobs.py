@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from inkstream.functions.distributed import cut_lineage, scalar_struct, scratch
 from inkstream.operators import windows as W
 from inkstream.operators.events import MAX_RETRIES, RETRY_DELAY, STATUS, replay
-from inkstream.operators.relational import upsert
+from inkstream.streaming.fanout import Output, micros
+from inkstream.streaming.store import ChangeStore
 from inkstream.streaming.tables import Versioned
 
 #: The windowed outputs of the stream, by name (the eleven outputs minus the row-level ones).
@@ -28,12 +31,14 @@ WINDOWED: Mapping[str, Callable[..., DataFrame]] = {
 }
 
 
-def stream_outputs(stream: DataFrame, watermark: str = "10 minutes", width: str | None = None) -> dict[str, DataFrame]:
-    """Every output of the document stream, ready for ``fan_out``."""
-    extra = {"width": width} if width else {}
-    out = {name: op(stream, watermark=watermark, **extra) for name, op in WINDOWED.items()}
-    out["duration_category"] = W.duration_category(stream)
-    return out
+def stream_outputs(widths: Mapping[str, str], every: str = "1 minute") -> dict[str, Output]:
+    """The eleven outputs of the document stream for :class:`SharedOutputs`; ``every`` is the width of those not named."""
+
+    def windowed(name: str) -> Output:
+        width = widths.get(name, every)
+        return Output(lambda rows: WINDOWED[name](rows, width), width)
+
+    return {name: windowed(name) for name in WINDOWED} | {"duration_anomalies": Output(W.duration_anomalies, before="1 hour")}
 
 
 def run_batches(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -47,14 +52,9 @@ def run_batches(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpo
     )
 
 
-def upsert_into(table: Versioned, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """Batch function that merges updated rows by key (for aggregates in update mode)."""
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        old = table.at(batch.sparkSession, batch_id - 1)
-        table.put(upsert(old, batch.select(*old.columns), keys, keys), batch_id)
-
-    return merge
+def upsert_into(store: ChangeStore) -> Callable[[DataFrame, int], None]:
+    """Batch function that stores updated rows by key (for aggregates in update mode)."""
+    return store.put
 
 
 # --- life cycle of documents ---
@@ -63,33 +63,36 @@ def upsert_into(table: Versioned, keys: list[str]) -> Callable[[DataFrame, int],
 NEWEST = "aggregate_id STRING, event_type STRING, version BIGINT, timestamp TIMESTAMP, event_data STRING"
 
 
-def _newest(events: DataFrame) -> DataFrame:
-    """The event with the highest version of each document and kind, combined on the map side."""
-    seen = F.max(F.struct("version", "timestamp", "event_data")).alias("e")
-    return events.groupBy("aggregate_id", "event_type").agg(seen).select("aggregate_id", "event_type", "e.*")
+def newest_events(path: str, expire_after: str | None = None) -> ChangeStore:
+    """The table of newest events; with ``expire_after`` (an interval) it drops by and by what :func:`live_events` leaves out."""
+    keys, order = ("aggregate_id", "event_type"), ("version", "timestamp", "event_data")
+    return ChangeStore(path, NEWEST, keys, order, clock="timestamp", keep=expire_after)
 
 
-def keep_newest(table: Versioned, expire_after: str | None = None) -> Callable[[DataFrame, int], None]:
-    """Batch function that folds life-cycle events into ``table``, in whatever order they arrive.
+def keep_newest(store: ChangeStore) -> Callable[[DataFrame, int], None]:
+    """Batch function that folds life-cycle events into ``store``, in whatever order they arrive.
 
-    The table is all the state there is.  With ``expire_after`` (an interval) documents go whose
-    newest event is that much older than the newest of all.
+    The store is all the state there is, and a micro-batch reads none of it: the newest event of a kind wins when rows meet.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = batch.where(F.col("event_type").isin(*STATUS)).select(
             "aggregate_id", "event_type", F.col("version").cast("bigint").alias("version"), "timestamp", "event_data"
         )
-        kept = _newest(table.at(batch.sparkSession, batch_id - 1).unionByName(_newest(rows)))
-        if expire_after:
-            last = kept.groupBy("aggregate_id").agg(F.max("timestamp").alias("last"))
-            floor = last.select(F.max("last") - F.expr(f"INTERVAL {expire_after}")).scalar()
-            kept = kept.join(last.where(F.col("last") >= floor).select("aggregate_id"), "aggregate_id", "left_semi")
-        table.put(kept, batch_id)
+        store.put(rows, batch_id)
 
     return merge
 
 
+def live_events(newest: DataFrame, expire_after: str) -> DataFrame:
+    """Without documents whose newest event is older than that before the newest of all, and without a document's events that are older
+    than that before its own newest: whatever the order of arrival, an event that has expired stays so."""
+    ago = F.expr(f"INTERVAL {expire_after}")
+    last = newest.groupBy("aggregate_id").agg(F.max("timestamp").alias("last"))
+    live = last.where(F.col("last") >= newest.select(F.max("timestamp") - ago).scalar())
+    return newest.join(live, "aggregate_id").where(F.col("timestamp") >= F.col("last") - ago).drop("last")
+
+
 def document_records(newest: DataFrame) -> DataFrame:
     """Record of every document, with the next attempt of a failure that may be retried."""
     again = F.col("retry_count") < MAX_RETRIES
@@ -173,20 +176,16 @@ def late_rows(
 ) -> Callable[[DataFrame, int], None]:
     """Batch function that keeps rows older than (newest earlier event - ``delay``) aside.
 
-    ``seen`` has ``max_time TIMESTAMP, late BIGINT``.
+    ``seen`` has ``max_time TIMESTAMP, late BIGINT``, the late rows so far.
     """
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        before = seen.at(batch.sparkSession, batch_id - 1)
-        limit = before.agg(F.max("max_time")).first()[0]
-        cut = F.lit(limit).cast("timestamp") - F.expr(f"INTERVAL {delay}")
-        late = batch.where(F.col(ts) < cut) if limit is not None else batch.where(F.lit(False))
-        late.write.mode("overwrite").parquet(f"{late_path}/v={batch_id}")
-        counted = batch.agg(F.max(ts).alias("m")).withColumn(
-            "late", late.select(F.count(F.lit(1))).scalar()
-        )
+        before = scalar_struct(seen.at(batch.sparkSession, batch_id - 1))
+        late = F.coalesce(F.col(ts) < before["max_time"] - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        batch.where(late).write.mode("overwrite").parquet(f"{late_path}/v={batch_id}")
+        counted = batch.agg(F.max(ts).alias("m"), F.count_if(late).alias("n"))
         state = counted.select(
-            F.greatest("m", F.lit(limit).cast("timestamp")).alias("max_time"), F.coalesce("late", F.lit(0)).alias("late")
+            F.greatest("m", before["max_time"]).alias("max_time"), (F.col("n") + F.coalesce(before["late"], F.lit(0))).alias("late")
         )
         seen.put(state, batch_id)
 
@@ -196,17 +195,66 @@ def late_rows(
 # --- windows that need earlier rows ---
 
 WINDOW_ROWS = "window_end TIMESTAMP, document_type STRING, current_avg DOUBLE, document_count BIGINT"
+#: Outputs over the windows before a window of its type: how they are made, and how many windows one window reaches.
+POST = {"moving_average": (W.moving_rows, 10), "count_trend": (W.trend_rows, 2)}
+HALO = max(reach for _, reach in POST.values()) - 1
 
 
-def post_windows(table: Versioned, out: str) -> Callable[[DataFrame, int], None]:
-    """Batch function after ``windows.window_averages`` in update mode: merge the changed
-    windows into the stored aggregate, then moving averages and trends over it."""
+@dataclass(frozen=True)
+class PostWindows:
+    """Moving averages and trends after ``windows.window_averages`` in update mode, under ``root``.
 
-    def update(batch: DataFrame, batch_id: int) -> None:
-        keys = ["window_end", "document_type"]
-        old = table.at(batch.sparkSession, batch_id - 1)
-        stored = table.put(upsert(old, batch.select(*old.columns), keys, keys), batch_id)
-        W.moving_rows(stored).write.mode("overwrite").parquet(f"{out}/moving_average/v={batch_id}")
-        W.trend_rows(stored).write.mode("overwrite").parquet(f"{out}/count_trend/v={batch_id}")
+    A micro-batch stores the windows that it has changed, reads them with what follows and the ``HALO`` windows of their type before them, and
+    writes only the results that a changed window reaches.
+    """
 
-    return update
+    root: str
+    width: str = "1 minute"
+
+    @property
+    def windows(self) -> ChangeStore:
+        return ChangeStore(f"{self.root}/windows", WINDOW_ROWS, ("window_end", "document_type"), clock="window_end")
+
+    def results(self, spark: SparkSession, name: str) -> ChangeStore:
+        schema = POST[name][0](spark.createDataFrame([], WINDOW_ROWS)).schema
+        return ChangeStore(f"{self.root}/{name}", schema, ("window_end", "document_type"), clock="window_end")
+
+    def step(self) -> Callable[[DataFrame, int], None]:
+        def update(batch: DataFrame, batch_id: int) -> None:
+            with scratch():
+                self._update(batch, batch_id)
+
+        return update
+
+    def _update(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        changed = cut_lineage(batch.select("window_end", "document_type", "current_avg", "document_count"))
+        self.windows.put(changed, batch_id)
+        rows = cut_lineage(self._range(changed, batch_id))
+        by_type = Window.partitionBy("document_type").orderBy("window_end")
+        for name, (make, reach) in POST.items():
+            near = F.max("changed").over(by_type.rowsBetween(1 - reach, 0))
+            touched = rows.withColumn("near", near).where("near").select("window_end", "document_type")
+            self.results(spark, name).put(make(rows).join(touched, ["window_end", "document_type"], "left_semi"), batch_id)
+
+    def _range(self, changed: DataFrame, batch_id: int) -> DataFrame:
+        """Stored windows from each type's earliest changed one on, and ``HALO`` of its windows before, with ``changed``.
+
+        The store is read from some time on, which goes back further while a type has too few windows since then.
+        """
+        spark, stored = changed.sparkSession, self.windows.manifest(changed.sparkSession, batch_id)
+        first = changed.groupBy("document_type").agg(F.min("window_end").alias("first"))
+        low = first.agg(F.min(F.unix_micros("first"))).first()[0]
+        marked = changed.select("window_end", "document_type", F.lit(True).alias("changed"))
+        span = HALO * micros(self.width)
+        while True:
+            since = stored["oldest"] if low is None else max(low - span, stored["oldest"])
+            known = self.windows.at(spark, batch_id, F.col("window_end") >= F.timestamp_micros(F.lit(since))).join(first, "document_type")
+            before = F.col("window_end") < F.col("first")
+            lacking = known.groupBy("document_type").agg(F.count_if(before).alias("n")).where(F.col("n") < HALO)
+            if low is None or since == stored["oldest"] or lacking.isEmpty():
+                break
+            span *= 4
+        back = F.row_number().over(Window.partitionBy("document_type", before).orderBy(F.desc("window_end")))
+        near = known.withColumn("back", back).where(~before | (F.col("back") <= HALO)).drop("back", "first")
+        return near.join(marked, ["window_end", "document_type"], "left").withColumn("changed", F.coalesce("changed", F.lit(False)))

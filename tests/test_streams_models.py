@@ -72,14 +72,15 @@ def test_lifecycle_over_batches_in_any_order(spark, rows, tmp_path):
     first = [("DocumentProcessingFailed", "d", fail % 1, dt(2024, 1, 1, 0, 3), 3), ("DocumentClassified", "d", "{}", dt(2024, 1, 1), 4)]
     second = [("DocumentUploaded", "d", '{"file_name":"f.pdf","file_size":7}', dt(2024, 1, 1, 0, 1), 1)]
     third = [first[0], ("DocumentUploaded", "e", '{"file_name":"g.pdf","file_size":8}', dt(2024, 3, 1), 1)]  # a redelivery
-    folder, out = f"file://{tmp_path}/in", Versioned(f"file://{tmp_path}/out", S.NEWEST)
+    folder, out = f"file://{tmp_path}/in", S.newest_events(f"file://{tmp_path}/out", "30 DAYS")
     rows([], schema).write.json(folder)
     stream = spark.readStream.schema(schema).json(folder)
     for n, part in enumerate((first, second, third)):
         rows(part, schema).coalesce(1).write.mode("append").json(folder)
-        job = S.run_batches(stream, S.keep_newest(out, "30 DAYS"), f"file://{tmp_path}/c")
+        job = S.run_batches(stream, S.keep_newest(out), f"file://{tmp_path}/c")
         job.awaitTermination()
-        found = {r.document_id: r for r in S.document_records(out.at(spark, int(job.lastProgress["batchId"]))).collect()}
+        live = S.live_events(out.at(spark, int(job.lastProgress["batchId"])), "30 DAYS")
+        found = {r.document_id: r for r in S.document_records(live).collect()}
         if n < 2:
             r = found["d"]
             assert (r.status, r.version, r.next_retry, r.retry_at) == ("failed", 3, 2, dt(2024, 1, 1, 0, 8))
