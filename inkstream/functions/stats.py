@@ -6,8 +6,7 @@ Used inside vectorised UDFs on results that already have one row per metric or v
 from __future__ import annotations
 
 import math
-
-import numpy as np
+from functools import cache
 
 
 def normal_sf(z: float) -> float:
@@ -72,25 +71,45 @@ def t_quantile(p: float, df: float) -> float:
     return (low + high) / 2.0
 
 
+@cache
+def _partition_numerator(m: int) -> tuple[int, list[int]]:
+    """``(d, p)`` with 1 / ((1 - q)(1 - q)(1 - q^2)...(1 - q^m)) = p(q) / (1 - q^d)^(m + 1).
+
+    ``d`` is the least common multiple of 1..m (840 for eight), and 1 / (1 - q^i) is (1 + q^i + ... + q^(d - i)) / (1 - q^d).
+    """
+    d = math.lcm(*range(1, m + 1))
+    p = [1]
+    for i in (1, *range(1, m + 1)):
+        out = [0] * (len(p) + d - i)
+        for at in range(len(out)):  # a sum of d / i terms that lie i apart, from the one before
+            out[at] = (p[at] if at < len(p) else 0) + (out[at - i] if at >= i else 0) - (p[at - d] if 0 <= at - d < len(p) else 0)
+        p = out
+    return d, p
+
+
+def _partitions_up_to(x: int, m: int) -> int:
+    """How many partitions into at most ``m`` parts the numbers 0..x have together, exactly and without a table over x."""
+    d, p = _partition_numerator(m)
+    return sum(p[r] * math.comb((x - r) // d + m, m) for r in range(x % d, min(x + 1, len(p)), d)) if x >= 0 else 0
+
+
 def rank_sum_exact(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p of the larger U without ties.
+    """Two-sided exact p of the larger U without ties; the smaller sample has a few values, the larger any number.
 
-    The arrangements with statistic v are the coefficients of a Gaussian binomial.  Only its
-    lower half is built, ``n1 * n2 / 2`` numbers at most: dividing by 1 - q^i is a running sum
-    with stride i, multiplying by 1 - q^(n + i) one shifted difference.
+    The arrangements with statistic v are the coefficients of a Gaussian binomial, the product over i = 1..m of
+    (1 - q^(n + i)) / (1 - q^i).  The numerator has 2^m terms, and what each takes from the sums of the
+    denominator's coefficients is counted in closed form: time and memory do not grow with ``n``, and all is in integers.
     """
     m, n = min(n1, n2), max(n1, n2)
-    lowest = int(m * n - math.ceil(u))  # arrangements as extreme as u, seen from the other end
+    lowest = m * n - math.ceil(u)  # arrangements as extreme as u, seen from the other end
     if lowest < 0:
         return 0.0
-    ways = np.zeros(lowest + 1)
-    ways[0] = 1.0
+    terms = {0: 1}
     for i in range(1, m + 1):
-        for start in range(min(i, len(ways))):
-            ways[start::i] = np.cumsum(ways[start::i])
-        if n + i <= lowest:
-            ways[n + i :] -= ways[: -(n + i)].copy()
-    return min(1.0, 2.0 * ways.sum() / math.comb(m + n, m))
+        for exponent, sign in list(terms.items()):
+            terms[exponent + n + i] = terms.get(exponent + n + i, 0) - sign
+    ways = sum(sign * _partitions_up_to(lowest - exponent, m) for exponent, sign in terms.items())
+    return min(1.0, 2 * ways / math.comb(m + n, m))
 
 
 def rank_sum_p(r1: float, n1: int, n2: int, ties: float) -> float:

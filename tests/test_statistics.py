@@ -1,6 +1,8 @@
 """Tabulated t and normal values, and rank-sum tests against enumeration."""
 
+import tracemalloc
 from itertools import combinations
+from math import comb
 
 import pytest
 
@@ -70,3 +72,49 @@ def test_rank_sum_is_exact_whatever_the_sizes():
         u = 0.725 * 8 * n
         p, normal = stats.rank_sum_p(u + 36, 8, n, 0), stats.rank_sum_p(u + 36, 8, n, 1e-9)
         assert p != normal and p == pytest.approx(0.0256, abs=1e-4)
+
+
+def counted(m, n):
+    """Arrangements by U, by the recurrence over the largest value."""
+    table = {}
+
+    def ways(m, n):
+        if (m, n) not in table:
+            if m == 0 or n == 0:
+                table[m, n] = [1]
+            else:
+                out = [0] * (m * n + 1)
+                for at, c in enumerate(ways(m - 1, n)):
+                    out[at + n] += c
+                for at, c in enumerate(ways(m, n - 1)):
+                    out[at] += c
+                table[m, n] = out
+        return table[m, n]
+
+    return ways(m, n)
+
+
+@pytest.mark.parametrize("m,n", [(1, 1), (1, 9), (2, 30), (3, 17), (5, 40), (7, 23), (8, 8), (8, 60)])
+def test_exact_rank_sum_equals_counting(m, n):
+    ways = counted(m, n)
+    assert sum(ways) == comb(m + n, m)
+    below = 0
+    for v, c in enumerate(ways):
+        below += c
+        assert stats._partitions_up_to(v, m) >= below
+        if 2 * v <= m * n:
+            p = min(1.0, 2 * below / comb(m + n, m))
+            assert stats.rank_sum_exact(m * n - v, m, n) == stats.rank_sum_exact(m * n - v, n, m) == p
+    assert stats.rank_sum_exact(m * n + 1, m, n) == 0.0
+
+
+def test_exact_rank_sum_takes_no_memory_for_the_larger_sample():
+    stats.rank_sum_exact(100, 8, 20)  # the table for eight values
+    tracemalloc.start()
+    n = 10**8
+    found = {share: stats.rank_sum_exact(share * 8 * n, 8, n) for share in (0.5, 0.725, 0.9, 1.0)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000
+    assert found[0.5] == 1.0 and found[1.0] == 2 / comb(n + 8, 8)
+    assert found[0.725] == pytest.approx(stats.rank_sum_exact(0.725 * 8 * 10**6, 8, 10**6), rel=1e-4)
