@@ -157,7 +157,16 @@ def exact_quantiles(
         .groupBy(*group, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    cum = prefix_sums(counts, group, ["_v"], {"_cum": F.col("_n")})
+    return quantiles_of_counts(counts, group, "_v", "_n", probs, method)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, group: Sequence[str], value: str, n_rows: str, probs: Mapping[str, float], method: str = "linear"
+) -> DataFrame:
+    """:func:`exact_quantiles` of values that come with their numbers, each value of a group once."""
+    group = list(group)
+    plain = counts.select(*group, F.col(value).alias("_v"), F.col(n_rows).alias("_n"))
+    cum = prefix_sums(plain, group, ["_v"], {"_cum": F.col("_n")})
     n = F.col("_cum_total")
 
     def at(index: Column) -> Column:

@@ -8,10 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import ArrayType, MapType, NumericType, StringType, StructType
 
 from inkstream.functions.columns import ago, as_bigint, instant, pct, strip
-from inkstream.functions.distributed import exact_quantiles
+from inkstream.functions.distributed import cut_lineage, quantiles_of_counts
 
 # Fixed values of the validator.
 DOCUMENT_FIELDS = ("document_id", "user_id", "file_name", "file_size", "content_type")
@@ -406,73 +406,83 @@ def alert_counts(alerts: DataFrame) -> DataFrame:
 # --- profiling ---
 
 
-def profile(df: DataFrame, rounded: bool = True) -> DataFrame:
-    """One row per column: counts, number statistics or text statistics.
+def value_counts(df: DataFrame) -> DataFrame:
+    """``c, one, two, n, x, size, v``: how often each column, by its number, has each value.
 
-    One wide aggregate for counts and moments; distinct counts and modes come from one
-    value-count shuffle over all columns, medians from the exact distributed quantile.
+    One scan and one exchange for all columns.  A value is known by 128 bits of hash (null: none), so what is shuffled is keyed by numbers however
+    long texts are; with it goes its number or the text itself, once per task, for the statistics that need them.
     """
-    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
-    text = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    cells = []
+    for i, f in enumerate(df.schema.fields):
+        col, is_text = F.col(f"`{f.name}`"), isinstance(f.dataType, StringType)
+        plain = col.cast("string") if isinstance(f.dataType, (ArrayType, MapType, StructType)) else col  # maps have no hash
+        cells.append(
+            F.struct(
+                F.lit(i).alias("c"),
+                F.when(col.isNotNull(), F.xxhash64(plain)).alias("one"),
+                F.when(col.isNotNull(), F.xxhash64(F.lit(i), plain)).alias("two"),
+                (col if isinstance(f.dataType, NumericType) else F.lit(None)).cast("double").alias("x"),
+                (col if is_text else F.lit(None)).cast("string").alias("v"),
+            )
+        )
+    if not cells:
+        raise ValueError("a table without columns")
+    one = F.count(F.lit(1)).alias("n")
+    size = F.first(F.length("v")).alias("size")
+    return df.select(F.inline(F.array(*cells))).groupBy("c", "one", "two").agg(one, F.first("x").alias("x"), size, F.first("v").alias("v"))
+
+
+def profile(df: DataFrame, rounded: bool = True) -> DataFrame:
+    """One row per column: counts, number statistics or text statistics, all from :func:`value_counts`."""
+    numeric = [i for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, NumericType)]
+    text = [i for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, StringType)]
     null_d, null_s = F.lit(None).cast("double"), F.lit(None).cast("string")
 
     def shown(col: Column) -> Column:
         return F.round(col, 2) if rounded else col
 
-    def stats(f) -> Column:
-        c, is_num, is_text = f.name, f.name in numeric, f.name in text
-        return F.struct(
-            F.lit(c).alias("column_name"),
-            F.lit(f.dataType.simpleString()).alias("data_type"),
-            F.count(c).alias("non_null_count"),
-            (F.count(F.lit(1)) - F.count(c)).alias("null_count"),
-            F.count(F.lit(1)).alias("n"),
-            (F.avg(c).cast("double") if is_num else null_d).alias("mean"),
-            (F.stddev_samp(c) if is_num else null_d).alias("std"),
-            (F.min(c).cast("double") if is_num else null_d).alias("min"),
-            (F.max(c).cast("double") if is_num else null_d).alias("max"),
-            (F.avg(F.length(c)) if is_text else null_d).alias("avg_length"),
-        )
-
-    base = df.agg(F.array(*[stats(f) for f in df.schema.fields]).alias("s")).select(F.inline("s"))
-
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in df.columns]
+    counts = cut_lineage(value_counts(df))
+    known, n, x = F.col("one").isNotNull(), F.col("n"), F.col("x")
+    per = counts.groupBy("c").agg(
+        F.sum(F.when(known, n).otherwise(0)).alias("non_null_count"),
+        F.sum(F.when(known, 0).otherwise(n)).alias("null_count"),
+        F.count("one").alias("unique_count"),
+        (F.sum(n * x) / F.sum(F.when(x.isNotNull(), n))).alias("mean"),
+        F.min("x").alias("min"),
+        F.max("x").alias("max"),
+        (F.sum(n * F.col("size")) / F.sum(F.when(F.col("size").isNotNull(), n))).alias("avg_length"),
+        F.min(F.when(F.col("v").isNotNull(), F.struct((-n).alias("less"), "v"))).alias("top"),
     )
-    counts = (
-        df.select(F.inline(cells)).where("v IS NOT NULL").groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    numbers = counts.where(x.isNotNull())
+    spread_of = numbers.join(per.select("c", "mean"), "c").groupBy("c").agg(
+        F.sqrt(F.try_divide(F.sum(n * F.pow(x - F.col("mean"), 2)), F.sum(n) - 1)).alias("std")
     )
-    values = counts.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("unique_count"),
-        F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("mode"),
-        F.max("n").alias("mode_n"),
-    )
-    out = base.join(values, "column_name", "left")
     if numeric:
-        numbers = F.array(
-            *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in numeric]
-        )
-        medians = exact_quantiles(df.select(F.inline(numbers)), ["column_name"], "x", {"median": 0.5})
-        out = out.join(medians, "column_name", "left")
+        medians = quantiles_of_counts(numbers, ["c"], "x", "n", {"median": 0.5})
     else:
-        out = out.withColumn("median", null_d)
-    is_text = F.col("column_name").isin(*text) if text else F.lit(False)
-    unique = F.coalesce("unique_count", F.lit(0).cast("bigint"))
-    return out.select(
+        medians = per.select("c", null_d.alias("median"))
+    columns = df.sparkSession.createDataFrame(
+        [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)], "c int, column_name string, data_type string"
+    )
+    out = columns.join(per, "c", "left").join(spread_of, "c", "left").join(medians, "c", "left")
+    is_text, zero = F.col("c").isin(*text) if text else F.lit(False), F.lit(0).cast("bigint")
+    filled = {c: F.coalesce(c, zero) for c in ("non_null_count", "null_count", "unique_count")}
+    rows = F.col("non_null_count") + F.col("null_count")
+    return out.withColumns(filled).select(
         "column_name",
         "data_type",
         "non_null_count",
         "null_count",
-        shown(pct(F.col("null_count"), F.col("n"))).alias("null_percentage"),
-        unique.alias("unique_count"),
-        shown(pct(unique, F.col("n"))).alias("unique_percentage"),
+        shown(pct(F.col("null_count"), rows)).alias("null_percentage"),
+        "unique_count",
+        shown(pct(F.col("unique_count"), rows)).alias("unique_percentage"),
         shown(F.col("mean")).alias("mean"),
         shown(F.col("median")).alias("median"),
         shown(F.col("std")).alias("std"),
         "min",
         "max",
-        F.when(is_text, F.col("mode")).otherwise(null_s).alias("most_common"),
-        F.when(is_text, F.coalesce("mode_n", F.lit(0))).alias("most_common_count"),
+        F.when(is_text, F.col("top.v")).otherwise(null_s).alias("most_common"),
+        F.when(is_text, F.coalesce(-F.col("top.less"), zero)).alias("most_common_count"),
         shown(F.col("avg_length")).alias("avg_length"),
     )
 
