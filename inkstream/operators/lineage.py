@@ -179,13 +179,6 @@ def data_flow(edges: DataFrame, source: object, target: object) -> DataFrame:
     return found.select(F.col("distance").alias("path_length"), F.inline(steps))
 
 
-def _both(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    down = _with_paths(edges, starts, "downstream").withColumn("direction", F.lit("downstream"))
-    up = _with_paths(edges, starts, "upstream").withColumn("direction", F.lit("upstream"))
-    # upstream paths read from the ancestor to the start
-    return down.unionByName(up.withColumn("path", F.reverse("path")))
-
-
 def lineage_depth(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Largest shortest-path distance in either direction (0 for an isolated asset)."""
     numbered = numbered_starts(starts)
@@ -202,20 +195,26 @@ def impact_score(edges: DataFrame, starts: DataFrame, assets: DataFrame) -> Data
     return numbered.join(touched, "start", "left").select("start", F.least(share, F.lit(1.0)).alias("impact_score"))
 
 
-def impact_analysis(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts and depths per start, and the closure rows with a shortest path each."""
-    rows = cut_lineage(_both(edges, starts))
+def impact_analysis(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Counts and depths of every start in both directions, from the new bits of each round."""
+    numbered = numbered_starts(starts)
     down, up = F.col("direction") == "downstream", F.col("direction") == "upstream"
     zero = F.lit(0)
-    counted = rows.groupBy("start").agg(
-        F.count_if(down).alias("total_downstream_assets"),
-        F.count_if(up).alias("total_upstream_assets"),
+    counted = per_start(levels(edges, numbered), numbered).groupBy("start").agg(
+        F.sum(F.when(down, F.col("n")).otherwise(zero)).alias("total_downstream_assets"),
+        F.sum(F.when(up, F.col("n")).otherwise(zero)).alias("total_upstream_assets"),
         F.coalesce(F.max(F.when(down, F.col("distance"))), zero).alias("max_downstream_depth"),
         F.coalesce(F.max(F.when(up, F.col("distance"))), zero).alias("max_upstream_depth"),
-        F.count(F.lit(1)).alias("total_impact_score"),
+        F.sum("n").alias("total_impact_score"),
     )
-    base = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
-    return base.join(counted, "start", "left").na.fill(0), rows
+    return numbered.select("start").join(counted, "start", "left").na.fill(0)
+
+
+def critical_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """The closure rows in both directions with a shortest path each, read from the ancestor to the descendant."""
+    down = _with_paths(edges, starts, "downstream").withColumn("direction", F.lit("downstream"))
+    up = _with_paths(edges, starts, "upstream").withColumn("direction", F.lit("upstream"))
+    return down.unionByName(up.withColumn("path", F.reverse("path")))
 
 
 def graph_export(assets: DataFrame, edges: DataFrame) -> DataFrame:

@@ -251,7 +251,7 @@ def _(t: Tables):
     ED,
 )
 def _(t: Tables):
-    return N.impact_analysis(t.lineage_edges(), merges(t))[0]
+    return N.impact_analysis(t.lineage_edges(), merges(t))
 
 
 @query(
@@ -260,7 +260,7 @@ def _(t: Tables):
     ED,
 )
 def _(t: Tables):
-    rows = N.impact_analysis(t.lineage_edges(), merges(t))[1]
+    rows = N.critical_paths(t.lineage_edges(), merges(t))
     return rows.select("direction", "start", "node", "distance", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 

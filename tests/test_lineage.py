@@ -49,6 +49,10 @@ def test_closures_equal_plain_searches(spark, rows, seed, starts):
     assert depth == {c: max([0, *a.values(), *b.values()]) for c, (a, b) in both.items()}
     score = {r.start: r.impact_score for r in N.impact_score(df, s, spark.range(160)).collect()}
     assert score == {c: pytest.approx(min(1.0, (len(a) + len(b)) / 160)) for c, (a, b) in both.items()}
+    counts = {r.start: tuple(r)[1:] for r in N.impact_analysis(df, s).collect()}
+    assert counts == {
+        c: (len(a), len(b), max([0, *a.values()]), max([0, *b.values()]), len(a) + len(b)) for c, (a, b) in both.items()
+    }
 
 
 def test_limits_and_empty_tables(spark, rows):
