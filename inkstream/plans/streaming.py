@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream.operators import windows as W
@@ -43,15 +43,26 @@ def _arrivals(t: Tables, root: str) -> DataFrame:
     A tenth of the events of a file's last six hours arrive with the next one.
     """
     rows = _zoned(t.doc_events())
-    days = F.unix_micros("event_time") / 86_400_000_000
-    late = (F.col("document_id") % 10 == 3) & (F.pmod(days, F.lit(10.0)) >= 9.75)
-    rows = rows.withColumn("part", (F.floor(days / 10) + late.cast("int")).cast("int"))
+    late = (F.col("document_id") % 10 == 3) & (F.pmod(_days("event_time"), F.lit(10.0)) >= 9.75)
+    return _by_part(rows.withColumn("part", _part("event_time") + late.cast("int")), root)
+
+
+def _days(ts: str) -> Column:
+    return F.unix_micros(ts) / 86_400_000_000
+
+
+def _part(ts: str) -> Column:
+    return F.floor(_days(ts) / 10).cast("int")
+
+
+def _by_part(rows: DataFrame, root: str) -> DataFrame:
+    """Rows as a stream with a micro-batch for each ``part``, in order."""
+    spark = rows.sparkSession
     rows.write.parquet(f"{root}/all")
-    saved = t.spark.read.schema(rows.schema).parquet(f"{root}/all")
-    for part in sorted(r["part"] for r in saved.select("part").distinct().collect()):  # a few dozen for any number of events
+    saved = spark.read.schema(rows.schema).parquet(f"{root}/all")
+    for part in sorted(r["part"] for r in saved.select("part").distinct().collect()):  # a few for any number of events
         saved.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    plain = saved.drop("part").schema
-    return t.spark.readStream.schema(plain).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    return spark.readStream.schema(saved.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
 
 
 def _zoned(df: DataFrame) -> DataFrame:
@@ -264,13 +275,14 @@ def _(t: Tables):
 
 @query("dedupe_events", "SELECT event_id, event_type FROM events")
 def _(t: Tables):
-    """Every event delivered twice comes out once."""
+    """Every event delivered twice comes out once: events of a file's last twelve hours come again with the next file, others with the same."""
     root = _folder(t.spark)
-    twice = F.explode(F.array(F.lit(1), F.lit(2)))
-    stream = StreamTables(t.spark, t.folder).events.withColumn("delivery", twice)
-    out = S.dedupe_events(stream.withColumnRenamed("ts", "event_time"), "event_id", "10 minutes")
-    fan_out({"events": out.select("event_id", "event_type")}, root, f"{root}/checkpoint")["events"].awaitTermination()
-    return t.spark.read.parquet(f"{root}/events")
+    rows = _zoned(t.events.select("event_id", "event_type", F.col("ts").alias("event_time"))).withColumn("part", _part("event_time"))
+    again = F.when(F.pmod(_days("event_time"), F.lit(10.0)) >= 9.5, F.col("part") + 1).otherwise(F.col("part"))
+    stream = _by_part(rows.unionByName(rows.withColumn("part", again)), root)
+    out = S.dedupe_events(stream, "event_id", "1 day").select("event_id", "event_type")
+    fan_out({"events": out}, f"{root}/out", f"{root}/checkpoint")["events"].awaitTermination()
+    return t.spark.read.schema(out.schema).parquet(f"{root}/out/events")
 
 
 @query(
