@@ -17,6 +17,7 @@ key is not held out.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -38,6 +39,8 @@ TRIGRAMS = 300_000
 MEMORY = 300_000
 #: Letters and signs of a short token, and how many such tokens a lattice takes.
 SHORT, WINDOW = 4, 64
+#: Tokens of runs whose words are remembered.
+REMEMBERED = 4
 
 # fixed values: what a character may stand for besides itself
 LOOKALIKES = {
@@ -188,9 +191,12 @@ def character_counts(documents: DataFrame, text: str = "text", most: int = TRIGR
 # ---- words ----
 
 
+_TRIPLE = re.compile(r"(.)\1\1")
+
+
 def _suspicious(core: str) -> bool:
     if core.isalpha():
-        return any(a == b == c for a, b, c in zip(core, core[1:], core[2:], strict=False))
+        return _TRIPLE.search(core) is not None
     return any(c.isalpha() for c in core)
 
 
@@ -224,10 +230,11 @@ class Restorer:
     def __init__(self, counts: dict[str, int], known: Iterable[str] = ()):
         self.model = CharacterModel(counts)
         self.known = {w for w in known if not w.endswith("*")}
-        self.longest = max(map(len, self.known), default=0)
+        self.beginnings = {w[:n] for w in self.known for n in range(1, len(w) + 1)}
         self.cores: dict[str, str | None] = {}
-        self.runs: dict[tuple[str, ...], list[str]] = {}
-        self.joins: dict[str, bool] = {}
+        self.groups: dict[tuple[str, ...], list[str]] = {}
+        self.short_runs: dict[tuple[str, ...], list[str]] = {}
+        self.edges: dict[tuple[str, str], bool] = {}
 
     def words(self, token: str) -> list[str]:
         core = token.strip(_EDGES)
@@ -244,63 +251,78 @@ class Restorer:
         tokens = text.lower().split()
         out = set(tokens)
         cores, run = self.cores, []
-        for token in tokens:
-            core = cores.get(token, token)
-            if core is token:
-                core = token.strip(_EDGES)
-                core = core if len(core) <= SHORT else None
-                if len(cores) >= MEMORY:
-                    cores.clear()
-                cores[token] = core
-            if core is None:
+        unknown = out.difference(cores)
+        if len(cores) + len(unknown) > MEMORY:
+            cores.clear()
+            unknown = out.copy()
+        for token in unknown:
+            core = token.strip(_EDGES)
+            cores[token] = core if len(core) <= SHORT else None
+        for core in [*map(cores.__getitem__, tokens), None]:
+            if core:
+                run.append(core)
+            elif core is None:
                 if len(run) > 1:
                     out.update(self._joined(run))
                 run = []
-            elif core:
-                run.append(core)
-        if len(run) > 1:
-            out.update(self._joined(run))
         return out
 
-    def _joined(self, run: list[str]) -> Iterator[str]:
+    def _joined(self, run: list[str]) -> Iterable[str]:
+        """Words joined of a run of short tokens; short runs recur, so what they give is remembered."""
+        if len(run) > REMEMBERED:
+            return self._words_of(run)
+        name = tuple(run)
+        found = self.short_runs.get(name)
+        if found is None:
+            if len(self.short_runs) >= MEMORY:
+                self.short_runs.clear()
+            found = self.short_runs[name] = list(self._words_of(run))
+        return found
+
+    def _words_of(self, run: list[str]) -> Iterator[str]:
         yield from spelled_out(run)
         for at in range(0, max(1, len(run) - WINDOW // 2), WINDOW // 2):
-            window = tuple(run[at : at + WINDOW])
-            found = self.runs.get(window)
-            if found is None:
-                if len(self.runs) >= MEMORY:
-                    self.runs.clear()
-                found = self.runs[window] = list(self._window(window))
-            yield from found
+            yield from self._window(run[at : at + WINDOW])
 
-    def _window(self, window: tuple[str, ...]) -> Iterator[str]:
+    def _window(self, window: list[str]) -> Iterator[str]:
         # a space between letters that stand for themselves is settled by two on either side: the lattice ends at such edges
         for first, word in enumerate(window):
-            for core in window[first + 1 :]:
-                word += core
-                if len(word) > self.longest:
-                    break
-                if word in self.known:
-                    yield word
+            if word in self.beginnings:
+                for core in window[first + 1 :]:
+                    word += core
+                    if word not in self.beginnings:
+                        break
+                    if word in self.known:
+                        yield word
         group = [window[0]]
         for before, core in zip(window, (*window[1:], None), strict=True):
-            if core is None or (_local(before) and _local(core) and not self._joins(before[-2:] + core[:2])):
+            if core is None or self._edge(before, core):
                 if len(group) > 1:
-                    for parts in self.model.segment(group):
-                        for first in range(len(parts) - 1):
-                            yield "".join(parts[first:])
+                    yield from self._segmented(tuple(group))
                 group = []
             if core is not None:
                 group.append(core)
 
-    def _joins(self, letters: str) -> bool:
-        known = self.joins.get(letters)
+    def _edge(self, before: str, core: str) -> bool:
+        """Whether letters that stand for themselves on either side settle that a space is a word's edge."""
+        known = self.edges.get((before, core))
         if known is None:
-            if len(self.joins) >= MEMORY:
-                self.joins.clear()
-            known = self.joins[letters] = self.model.joins(letters[:2], letters[2:])
+            if len(self.edges) >= MEMORY:
+                self.edges.clear()
+            known = _local(before) and _local(core) and not self.model.joins(before[-2:], core[:2])
+            self.edges[before, core] = known
         return known
 
+    def _segmented(self, group: tuple[str, ...]) -> list[str]:
+        """What the lattice of a group of tokens joins; groups are short and recur, windows hardly do."""
+        found = self.groups.get(group)
+        if found is None:
+            if len(self.groups) >= MEMORY:
+                self.groups.clear()
+            found = ["".join(parts[first:]) for parts in self.model.segment(list(group)) for first in range(len(parts) - 1)]
+            self.groups[group] = found
+        return found
+
 
 # ---- evidence and scores ----
 
@@ -318,27 +340,28 @@ class Scorer:
     def __init__(self, counts: dict[str, int], evidence: dict[str, float]):
         self.restorer = Restorer(counts, evidence)
         self.evidence = evidence
+        self.starts = {e[:4] for e in evidence if e.endswith("*")}  # beginnings have four letters or more
         self.known: dict[str, float] = {}
 
     def _weight(self, token: str) -> float:
         best = 0.0
         for word in self.restorer.words(token):
-            for e in _evidence_of(word):
-                best = max(best, self.evidence.get(e, 0.0))
+            if word[:4] in self.starts:
+                best = max(best, *(self.evidence.get(e, 0.0) for e in _evidence_of(word)))
+            else:
+                best = max(best, self.evidence.get(word, 0.0))
         return best
 
     def features(self, text: str) -> tuple[float, float, float]:
         """The largest weight, the sum of the three largest, and how many tokens have any."""
-        known = self.known
-        weights = []
-        for token in self.restorer.tokens(text):
-            w = known.get(token)
-            if w is None:
-                if len(known) >= MEMORY:
-                    known.clear()
-                w = known[token] = self._weight(token)
-            if w:
-                weights.append(w)
+        tokens, known = self.restorer.tokens(text), self.known
+        unknown = tokens.difference(known)
+        if len(known) + len(unknown) > MEMORY:
+            known.clear()
+            unknown = tokens
+        for token in unknown:
+            known[token] = self._weight(token)
+        weights = [w for w in map(known.__getitem__, tokens) if w]
         if not weights:
             return 0.0, 0.0, 0.0
         weights.sort(reverse=True)
