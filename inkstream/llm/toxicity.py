@@ -4,12 +4,12 @@ Method (noisy channel).  A word seen in a text is taken for the output of a chan
 spaces or marks between them.  Each suspicious word spans a lattice of what its characters may stand for; the Viterbi path under a
 character trigram model, counted over all documents, restores it.  Words without such signs have one path and stay.  Runs of short tokens span a
 lattice of their own, in which every space may be a word's edge or have been put in; words that its path joins are read besides the tokens, from each of
-their spaces on, and so is any run of them that makes a word of the evidence.  The restored text is scored by word evidence learned from labelled rows: log odds of words and word beginnings, of which the strongest count.
+their spaces on, and so is any run of them that makes a word of the evidence.  Spaces that two settled letters on either side show to be edges end a lattice.  The restored text is scored by word evidence learned from labelled rows: log odds of words and word beginnings, of which the strongest count.
 
 Bounds.  At most ``FIT_ROWS`` labelled rows of each class are learned from: half for the evidence, half for the calibration, weighted back to the classes'
 shares.  At most ``EVIDENCE`` words and ``TRIGRAMS`` trigrams reach the tasks.  The trigrams are counted over every document.
 
-Cases.  Null or empty text, and text without evidence, has the score of no evidence.  Very long texts and tokens are read whole; a run
+Cases.  Null or empty text, and text without evidence, has the score of no evidence.  Very long texts and tokens are read whole; a lattice
 of more than ``WINDOW`` short tokens is read in windows that share half, so that a word of up to ``WINDOW / 2`` tokens is whole in one.  Without labelled rows of both classes
 every score is the share of label 1 (0 without any).  Repeated rows are scored each; an empty table gives an empty result; other columns are ignored and a null
 key is not held out.
@@ -18,29 +18,36 @@ key is not held out.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from functools import lru_cache
+from itertools import groupby, islice
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.arrays import text_slices
+from inkstream.llm.arrays import mix, text_slices
 from inkstream.llm.language_id import _folded
 from inkstream.llm.sampling import fit_logistic, labelled_sample, logistic, remainder
 
 FIT_ROWS = 4000
 EVIDENCE = 4000
 TRIGRAMS = 300_000
-#: Restored words remembered by a task, and as many runs and tokens.
+#: Weights of tokens remembered by a Python worker, and as many tokens, pairs and groups of them.
 MEMORY = 300_000
+#: Tokens and pairs remembered by their hashes alone.
+HASHES = 600_000
 #: Letters and signs of a short token, and how many such tokens a lattice takes.
 SHORT, WINDOW = 4, 64
-#: Tokens of runs whose words are remembered.
-REMEMBERED = 4
+#: Letters of the texts taken at a time, a longer text alone.
+SLICE = 1 << 19
+_U = np.uint64
+_ODD = _U(0x9E3779B97F4A7C15)
 
 # fixed values: what a character may stand for besides itself
 LOOKALIKES = {
@@ -91,6 +98,15 @@ class CharacterModel:
 
     def _spell(self, states: dict[str, tuple], token: str) -> dict[str, tuple]:
         """The states behind a token: by their last two letters, the cost and a chain of what was read."""
+        if _local(token):  # one reading, so one state is left
+            first, second = token[0], token[1]
+            cost, text = min(
+                ((c + self.cost(last, first) + self.cost(last[1] + first, second), t) for last, (c, t) in states.items()),
+                key=lambda state: state[0],
+            )
+            for at in range(2, len(token)):
+                cost += self.cost(token[at - 2 : at], token[at])
+            return {token[-2:]: (cost, (text, token))}
         runs = [(c, len(list(g))) for c, g in groupby(token)]
         for at, (c, length) in enumerate(runs):
             outside = at == 0 or at == len(runs) - 1
@@ -224,17 +240,43 @@ def spelled_out(tokens: list[str]) -> list[str]:
     return out
 
 
+class Remembered(dict[Any, Any]):
+    """What a function gave, by its argument.  Of ``MEMORY`` entries at most, those asked for lately stay."""
+
+    def __init__(self, work: Callable[[Any], Any]):
+        super().__init__()
+        self.work = work
+        self.older: dict[Any, Any] = {}
+
+    def __missing__(self, key: Any) -> Any:
+        found = self.older[key] if key in self.older else self.work(key)
+        if len(self) >= MEMORY // 2:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
+def _short(token: str) -> str | None:
+    """A token without marks on its edges, None if it is long."""
+    core = token.strip(_EDGES)
+    return core if len(core) <= SHORT else None
+
+
 class Restorer:
-    """Words of texts, as they stand and restored; one per task."""
+    """Words of texts, as they stand and restored.
+
+    Neighbouring tokens, and groups of them with unsettled spaces, recur much more than whole runs, so they are what is remembered.
+    """
 
     def __init__(self, counts: dict[str, int], known: Iterable[str] = ()):
         self.model = CharacterModel(counts)
         self.known = {w for w in known if not w.endswith("*")}
         self.beginnings = {w[:n] for w in self.known for n in range(1, len(w) + 1)}
-        self.cores: dict[str, str | None] = {}
-        self.groups: dict[tuple[str, ...], list[str]] = {}
-        self.short_runs: dict[tuple[str, ...], list[str]] = {}
-        self.edges: dict[tuple[str, str], bool] = {}
+        self.cores = Remembered(_short)
+        self.local = Remembered(_local)
+        self.pairs = Remembered(self.pair)
+        self.groups = Remembered(self._segmented)
 
     def words(self, token: str) -> list[str]:
         core = token.strip(_EDGES)
@@ -250,78 +292,56 @@ class Restorer:
         """Distinct lower-case tokens of a text, and words joined of short tokens as well."""
         tokens = text.lower().split()
         out = set(tokens)
-        cores, run = self.cores, []
-        unknown = out.difference(cores)
-        if len(cores) + len(unknown) > MEMORY:
-            cores.clear()
-            unknown = out.copy()
-        for token in unknown:
-            core = token.strip(_EDGES)
-            cores[token] = core if len(core) <= SHORT else None
-        for core in [*map(cores.__getitem__, tokens), None]:
-            if core:
-                run.append(core)
-            elif core is None:
-                if len(run) > 1:
-                    out.update(self._joined(run))
-                run = []
+        line = [core for core in map(self.cores.__getitem__, tokens) if core != ""]
+        kinds = list(map(self.pairs.__getitem__, zip(line, line[1:], strict=False)))
+        if any(kinds):
+            out.update(self._joined(line, kinds))
         return out
 
-    def _joined(self, run: list[str]) -> Iterable[str]:
-        """Words joined of a run of short tokens; short runs recur, so what they give is remembered."""
-        if len(run) > REMEMBERED:
-            return self._words_of(run)
-        name = tuple(run)
-        found = self.short_runs.get(name)
-        if found is None:
-            if len(self.short_runs) >= MEMORY:
-                self.short_runs.clear()
-            found = self.short_runs[name] = list(self._words_of(run))
-        return found
-
-    def _words_of(self, run: list[str]) -> Iterator[str]:
-        yield from spelled_out(run)
-        for at in range(0, max(1, len(run) - WINDOW // 2), WINDOW // 2):
-            yield from self._window(run[at : at + WINDOW])
-
-    def _window(self, window: list[str]) -> Iterator[str]:
-        # a space between letters that stand for themselves is settled by two on either side: the lattice ends at such edges
-        for first, word in enumerate(window):
-            if word in self.beginnings:
-                for core in window[first + 1 :]:
-                    word += core
-                    if word not in self.beginnings:
-                        break
-                    if word in self.known:
-                        yield word
-        group = [window[0]]
-        for before, core in zip(window, (*window[1:], None), strict=True):
-            if core is None or self._edge(before, core):
-                if len(group) > 1:
-                    yield from self._segmented(tuple(group))
+    def pair(self, pair: tuple[str | None, str | None]) -> int:
+        """What two neighbours may be part of: 1 the beginning of a known word, 2 a group with an unsettled space, 3 both, 0 neither."""
+        before, core = pair
+        if before is None or core is None:
+            return 0
+        # a space between letters that stand for themselves is settled by two on either side
+        settled = self.local[before] and self.local[core] and not self.model.joins(before[-2:], core[:2])
+        return (before in self.beginnings and before + core in self.beginnings) + (0 if settled else 2)
+
+    def _joined(self, line: list[str | None], kinds: list[int]) -> Iterator[str]:
+        group: list[str] = []
+        for at, kind in enumerate((*kinds, 0)):
+            if kind & 2:
+                group.append(line[at])
+            elif group:
+                yield from self.words_of((*group, line[at]))
                 group = []
-            if core is not None:
-                group.append(core)
-
-    def _edge(self, before: str, core: str) -> bool:
-        """Whether letters that stand for themselves on either side settle that a space is a word's edge."""
-        known = self.edges.get((before, core))
-        if known is None:
-            if len(self.edges) >= MEMORY:
-                self.edges.clear()
-            known = _local(before) and _local(core) and not self.model.joins(before[-2:], core[:2])
-            self.edges[before, core] = known
-        return known
+            if kind & 1:
+                yield from self.known_from(islice(line, at, None))
+
+    def known_from(self, cores: Iterator[str | None]) -> Iterator[str]:
+        """Known words that short tokens make from the first on."""
+        word = next(cores)
+        for core in cores:
+            if core is None:
+                return
+            word += core
+            if word not in self.beginnings:
+                return
+            if word in self.known:
+                yield word
+
+    def words_of(self, group: tuple[str, ...]) -> Iterator[str]:
+        if len(group) <= WINDOW:
+            yield from self.groups[group]
+            return
+        yield from spelled_out(list(group))
+        for at in range(0, len(group) - WINDOW // 2, WINDOW // 2):
+            yield from self.groups[group[at : at + WINDOW]]
 
     def _segmented(self, group: tuple[str, ...]) -> list[str]:
-        """What the lattice of a group of tokens joins; groups are short and recur, windows hardly do."""
-        found = self.groups.get(group)
-        if found is None:
-            if len(self.groups) >= MEMORY:
-                self.groups.clear()
-            found = ["".join(parts[first:]) for parts in self.model.segment(list(group)) for first in range(len(parts) - 1)]
-            self.groups[group] = found
-        return found
+        """What the lattice of a group of tokens joins, and its single characters in a row."""
+        words = self.model.segment(list(group))
+        return [*spelled_out(list(group)), *("".join(parts[first:]) for parts in words for first in range(len(parts) - 1))]
 
 
 # ---- evidence and scores ----
@@ -334,14 +354,75 @@ class ToxicityModel:
     beta: np.ndarray
 
 
+class Tokens:
+    """Lower-case tokens of some texts, their hashes, and those with a core: where it lies and whether it is short."""
+
+    def __init__(self, texts: list[str]):
+        lower = [t.lower() for t in texts]
+        self.text = "\n".join(lower)
+        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        spaces, marks = _tables()
+        solid = np.concatenate(([False], ~spaces[points], [False]))
+        self.starts = np.flatnonzero(solid[1:] & ~solid[:-1])
+        self.stops = np.flatnonzero(~solid[1:] & solid[:-1])
+        ends = np.cumsum([len(t) + 1 for t in lower])
+        self.owner = np.searchsorted(ends, self.starts, side="right")
+        # sums of letter hashes times powers of an odd number: a token's is the same wherever it stands
+        powers = np.full(len(points) + 1, _ODD, dtype=_U)
+        powers[0] = 1
+        self._sums = np.concatenate((np.zeros(1, _U), np.cumsum(mix(points.astype(_U)) * np.cumprod(powers)[:-1])))
+        powers[1:] = pow(int(_ODD), -1, 1 << 64)
+        self._back = np.cumprod(powers)
+        self.hashes = self._hash(self.starts, self.stops)
+        letters = np.flatnonzero(solid[1:-1] & ~marks[points])
+        at, to = np.searchsorted(letters, self.starts), np.searchsorted(letters, self.stops)
+        cored = np.flatnonzero(at < to)
+        self.core_owner = self.owner[cored]
+        self.core_starts, self.core_stops = letters[at[cored]], letters[to[cored] - 1] + 1
+        self.short = self.core_stops - self.core_starts <= SHORT
+
+    def _hash(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return mix((self._sums[stops] - self._sums[starts]) * self._back[starts] + (stops - starts).astype(_U))
+
+    def core(self, at: int) -> str:
+        return self.text[self.core_starts[at] : self.core_stops[at]]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of short cores that another follows in the same text, and the hashes of the two."""
+        two = np.flatnonzero(self.short[:-1] & self.short[1:] & (self.core_owner[:-1] == self.core_owner[1:]))
+        before = self._hash(self.core_starts[two], self.core_stops[two])
+        core = self._hash(self.core_starts[two + 1], self.core_stops[two + 1])
+        return two, mix(before + mix(core))
+
+    def line(self, at: int) -> Iterator[str | None]:
+        """Cores from a place on, to the first that is long or of another text."""
+        for place in range(at, len(self.short)):
+            if not self.short[place] or self.core_owner[place] != self.core_owner[at]:
+                break
+            yield self.core(place)
+        yield None
+
+
+@lru_cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Whether each code point is a space, and whether it is a mark on the edge of tokens."""
+    spaces = np.array([chr(c).isspace() for c in range(0x110000)])
+    marks = np.zeros(0x110000, dtype=bool)
+    marks[[ord(c) for c in _EDGES]] = True
+    return spaces, marks
+
+
 class Scorer:
-    """Strongest evidence of texts; one per task."""
+    """Strongest evidence of texts.  Tokens and pairs are known by hashes of 64 bits."""
 
     def __init__(self, counts: dict[str, int], evidence: dict[str, float]):
         self.restorer = Restorer(counts, evidence)
         self.evidence = evidence
         self.starts = {e[:4] for e in evidence if e.endswith("*")}  # beginnings have four letters or more
-        self.known: dict[str, float] = {}
+        self.weights = Remembered(self._weight)
+        self.weighty = Remembered(self._weighty)
+        self.known: dict[int, float] = {}
+        self.kinds: dict[int, int] = {}
 
     def _weight(self, token: str) -> float:
         best = 0.0
@@ -352,28 +433,78 @@ class Scorer:
                 best = max(best, self.evidence.get(word, 0.0))
         return best
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """The largest weight, the sum of the three largest, and how many tokens have any."""
-        tokens, known = self.restorer.tokens(text), self.known
-        unknown = tokens.difference(known)
-        if len(known) + len(unknown) > MEMORY:
-            known.clear()
-            unknown = tokens
-        for token in unknown:
-            known[token] = self._weight(token)
-        weights = [w for w in map(known.__getitem__, tokens) if w]
-        if not weights:
-            return 0.0, 0.0, 0.0
-        weights.sort(reverse=True)
-        return weights[0], sum(weights[:3]), float(np.log1p(len(weights)))
+    def _weighty(self, group: str) -> list[str]:
+        """The joined words of a group, as it stands in a text, that weigh anything."""
+        cores = [core for core in map(_short, group.split()) if core]
+        return [word for word in self.restorer.words_of(tuple(cores)) if self.weights[word]]
+
+    @staticmethod
+    def _looked_up(table: dict[int, Any], hashes: np.ndarray, work: Callable[[int], Any], kind: type) -> np.ndarray:
+        """What ``work`` gives for the place of each hash, remembered by the hash; one slice's are held whatever their number."""
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        names = distinct.tolist()
+        if len(table) + len(names) > HASHES:
+            table.clear()
+        out = list(map(table.get, names))
+        for i, found in enumerate(out):
+            if found is None:
+                out[i] = table[names[i]] = work(int(first[i]))
+        return np.array(out, dtype=kind)[back]
+
+    def words(self, texts: list[str]) -> list[set[str]]:
+        """The distinct tokens and joined words of each text that weigh anything."""
+        tokens = Tokens(texts)
+        text, owner = tokens.text, tokens.owner
+        out: list[set[str]] = [set() for _ in texts]
+        weights = self._looked_up(
+            self.known, tokens.hashes, lambda i: self._weight(text[tokens.starts[i] : tokens.stops[i]]), float
+        )
+        for i in np.flatnonzero(weights).tolist():
+            out[owner[i]].add(text[tokens.starts[i] : tokens.stops[i]])
+        two, hashes = tokens.pairs()
+        kinds = self._looked_up(
+            self.kinds, hashes, lambda i: self.restorer.pair((tokens.core(two[i]), tokens.core(two[i] + 1))), int
+        )
+        for at in two[kinds & 1 == 1].tolist():
+            out[tokens.core_owner[at]].update(self.restorer.known_from(tokens.line(at)))
+        open_ = two[kinds & 2 == 2]  # groups: places in a row
+        new = np.flatnonzero(np.diff(open_, prepend=-2) > 1)
+        firsts, lasts = open_[new], open_[np.append(new[1:], len(open_)) - 1] + 1 if len(new) else open_
+        begin, end = tokens.core_starts[firsts].tolist(), tokens.core_stops[lasts].tolist()
+        for document, a, b in zip(tokens.core_owner[firsts].tolist(), begin, end, strict=True):
+            found = self.weighty[text[a:b]]
+            if found:
+                out[document].update(found)
+        return out
+
+    def features(self, words: set[str]) -> tuple[float, float, float]:
+        """The largest weight, the sum of the three largest, and how many words have any."""
+        weights = sorted(filter(None, map(self.weights.__getitem__, words)), reverse=True)
+        return (weights[0], sum(weights[:3]), float(np.log1p(len(weights)))) if weights else (0.0, 0.0, 0.0)
 
     def matrix(self, texts: pa.Array) -> np.ndarray:
-        rows = []
-        for value in texts:
-            rows.append(self.features(value.as_py() or ""))
+        rows, some, size = [], [], 0
+        for value in (*texts, None):
+            text = value.as_py() if value is not None else None
+            if some and (value is None or size + len(text or "") > SLICE):
+                rows += map(self.features, self.words(some))
+                some, size = [], 0
+            some.append(text or "")
+            size += len(text or "")
         return np.array(rows, dtype=float).reshape(-1, 3)
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer_of(name: str, counts: dict[str, int], evidence: dict[str, float]) -> Scorer:
+    """The scorer of this Python worker for the model of that name: what it remembers serves later tasks too."""
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Scorer(counts, evidence)
+    return _scorers[name]
+
+
 def fit(
     documents: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     label: str = "toxic", fit_rows: int = FIT_ROWS,
@@ -447,10 +578,10 @@ def score(
     """``key``, ``score`` and ``predicted`` (1 from ``threshold`` on) for every row: a map over the rows."""
     rows = documents.select(F.col(key).alias(key), F.col(text).cast("string").alias("_text"))
     shared = documents.sparkSession.sparkContext.broadcast((model.counts, model.evidence))
-    beta = model.beta
+    beta, name = model.beta, uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value)
+        scorer = scorer_of(name, *shared.value)
         for batch in batches:
             p = logistic(beta, scorer.matrix(batch.column(1)))
             yield pa.RecordBatch.from_arrays(

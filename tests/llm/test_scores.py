@@ -154,3 +154,22 @@ def test_held_out_accuracy_on_the_small_tables(spark, name):
         assert right.first()[0] > 0.9
     else:
         assert out.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_toxicity_slices_equal_single_texts(monkeypatch):
+    """Tokens, pairs and groups found by array steps are those of one text after the other."""
+    rng = random.Random(4)
+    counts = {"  i": 9, " id": 9, "idi": 9, "dio": 9, "iot": 9, "ot ": 9, "  s": 5, " st": 5, "stu": 5, "tup": 5, "upi": 5, "pid": 5, "id ": 5}
+    evidence = {"idiot": 3.0, "stupid": 2.0, "stup*": 1.0, "id": 0.5, "été": 0.7}
+    pieces = ["id", "iot", "st", "u", "pid", "stu", "a", "the", "-", "...", "i", "d", "o", "t", "1d10t", "(id)", "été", "ID,", "longer", "iiidiot", "𝒳", "İ"]
+    gaps = [" ", "\n", " ", "  ", "\t", "\x1f"]
+    texts = ["", " ", "id", "i d i o t " * 40]
+    texts += ["".join(rng.choice(pieces) + rng.choice(gaps) for _ in range(rng.randrange(1, 90))) for _ in range(150)]
+    plain = toxicity.Scorer(counts, evidence)
+    want = [{w for w in plain.restorer.tokens(t) if plain.weights[w]} for t in texts]
+    assert toxicity.Scorer(counts, evidence).words(texts) == want
+    monkeypatch.setattr(toxicity, "SLICE", 100)
+    monkeypatch.setattr(toxicity, "HASHES", 5)
+    monkeypatch.setattr(toxicity, "MEMORY", 8)
+    small = toxicity.Scorer(counts, evidence)
+    assert small.matrix(pa.array([*texts, None])).tolist() == [list(plain.features(w)) for w in [*want, set()]]
