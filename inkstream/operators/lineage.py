@@ -166,17 +166,78 @@ def _with_paths(
     return seen.where("distance > 0")
 
 
+def _meeting(step: DataFrame, down: DataFrame, up: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame] | None:
+    """Levels of nodes below one node and above another, widened where the newest has fewer rows until the newest two share nodes.
+
+    No level before had a node in common, so those shared lie on every shortest path.  None if the levels end before.
+    """
+    levels, seen, sizes = ([down], [up]), [down, up], [down.count(), up.count()]
+    while all(sizes):
+        middle = levels[0][-1].join(levels[1][-1], "node", "left_semi")
+        if not middle.isEmpty():
+            return (*levels, middle)
+        which = 0 if sizes[0] <= sizes[1] else 1
+        near, far = ("src", "dst") if which == 0 else ("dst", "src")
+        grown = levels[which][-1].join(step, F.col("node") == F.col(near)).select(F.col(far).alias("node")).distinct()
+        fresh = cut_lineage(grown.join(seen[which], "node", "left_anti"))
+        levels[which].append(fresh)
+        sizes[which] = fresh.count()
+        seen[which] = seen[which].unionByName(fresh)
+        if len(levels[which]) % COMPACT_EVERY == 0:
+            seen[which] = cut_lineage(seen[which])
+    return None
+
+
+def _followed(start: DataFrame, pointers: DataFrame, length: int) -> DataFrame:
+    """``place, node`` of the nodes met in ``length`` pointers (``src, dst``) from a node on.
+
+    Pointers are doubled: each round the known part of the way is as long again, so the rounds are the logarithm of the length.
+    """
+    way, known, jump = start.select(F.lit(0).alias("place"), "node"), 1, pointers
+    while known <= length:
+        ahead = way.join(jump, F.col("node") == F.col("src")).select((F.col("place") + known).alias("place"), F.col("dst").alias("node"))
+        way = cut_lineage(way.unionByName(ahead))
+        known *= 2
+        if known <= length:
+            twice = jump.select("src", F.col("dst").alias("via")).join(jump.toDF("via", "dst"), "via")
+            jump = cut_lineage(twice.select("src", "dst"))
+    return way
+
+
 def data_flow(edges: DataFrame, source: object, target: object) -> DataFrame:
-    """Edges of one shortest path in order with its length; no rows if unreachable."""
-    one = edges.where(F.col("src") == source).select("src").limit(1)
-    found = reachable(edges, one, with_path=True, target=target).where(F.col("node") == target)
-    steps = F.transform(
-        F.sequence(F.lit(1), F.col("distance")),
-        lambda i: F.struct(
-            i.alias("step"), F.element_at("path", i).alias("src"), F.element_at("path", i + 1).alias("dst")
-        ),
-    )
-    return found.select(F.col("distance").alias("path_length"), F.inline(steps))
+    """Edges of the smallest shortest path in order with its length; no rows if unreachable.
+
+    The search goes from both ends and keeps nodes, not paths.  Every node on a shortest path then points to its smallest successor on one,
+    and the pointers are followed from the source.
+    """
+    step = cut_lineage(edges.select("src", "dst").distinct())  # read once per round
+    none = step.where("false").select(F.lit(0).alias("path_length"), F.lit(0).alias("step"), "src", "dst")
+    first = cut_lineage(step.where(F.col("src") == source).select(F.col("src").alias("node")).limit(1))
+    last = cut_lineage(step.where(F.col("dst") == target).select(F.col("dst").alias("node")).limit(1))
+    found = _meeting(step, first, last)
+    if found is None:
+        return none
+    down, up, ahead = found
+    length = len(down) + len(up) - 2
+    if not length:
+        return none
+    # behind the middle every step to the next level leads on, before it only those into nodes that lead on
+    above = up[0].select("node", F.lit(0).alias("left"))
+    for left, level in enumerate(up[1:], 1):
+        above = above.unionByName(level.select("node", F.lit(left).alias("left")))
+    above = cut_lineage(above)
+    leading = step.join(above.toDF("src", "left"), "src").join(above.toDF("dst", "left_behind"), "dst")
+    smallest = F.min("dst").alias("dst")
+    pointers = leading.where("left = left_behind + 1").groupBy("src").agg(smallest)
+    for level in reversed(down[:-1]):
+        into = step.join(ahead.toDF("dst"), "dst", "left_semi").join(level.toDF("src"), "src", "left_semi")
+        taken = cut_lineage(into.groupBy("src").agg(smallest))
+        pointers = pointers.unionByName(taken)
+        ahead = taken.select(F.col("src").alias("node"))
+    way = _followed(first, cut_lineage(pointers), length)
+    behind = way.select((F.col("place") - 1).alias("place"), F.col("node").alias("dst"))
+    steps = way.withColumnRenamed("node", "src").join(behind, "place")
+    return steps.select(F.lit(length).alias("path_length"), (F.col("place") + 1).alias("step"), "src", "dst")
 
 
 def lineage_depth(edges: DataFrame, starts: DataFrame) -> DataFrame:

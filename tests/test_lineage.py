@@ -93,3 +93,54 @@ def test_rounds_stay_packed_with_many_starts(spark, rows):
             counts[d] = counts.get(d, 0) + 1
         assert got[i] == counts
     assert sum(sizes.values()) < sum(map(len, want.values())) / 5
+
+
+def smallest_path(down, source, target):
+    """The smallest of the shortest paths, by levels of whole paths."""
+    paths, seen = {source: (source,)}, {source}
+    while paths:
+        if target in paths:
+            return paths[target]
+        grown = {}
+        for node, path in paths.items():
+            for other in down.get(node, set()) - seen:
+                grown[other] = min(grown.get(other, (float("inf"),)), (*path, other))
+        seen |= grown.keys()
+        paths = grown
+    return ()
+
+
+def flow(df, source, target):
+    found = sorted(N.data_flow(df, source, target).collect(), key=lambda r: r.step)
+    assert all(r.path_length == len(found) and r.step == i for i, r in enumerate(found, 1))
+    return [(r.src, r.dst) for r in found]
+
+
+def test_one_path_is_the_smallest_shortest(spark, rows):
+    rng = random.Random(11)
+    layers = [(10 * i + rng.randrange(4), 10 * i + 10 + rng.randrange(4)) for i in range(9) for _ in range(7)]
+    edges = [(0, 10), *layers, (4, 4), (21, 3), (90, 12), (None, 5), (7, None)]
+    df, (down, _) = rows(edges, "src long, dst long"), sides([e for e in edges if None not in e])
+    nodes = [n for n in down if distances(down, n)]
+    pairs = [(0, 93), (0, 90), (0, 0), (93, 0), (4, 4), (0, 777), (777, 0)]
+    pairs += [(a, rng.choice(sorted(distances(down, a)))) for a in rng.sample(nodes, 2)]
+    for a, b in pairs:
+        path = smallest_path(down, a, b) if a != b else ()
+        assert flow(df, a, b) == list(zip(path, path[1:], strict=False)), (a, b)
+    assert flow(rows([], "src long, dst long"), 1, 2) == []
+    assert flow(rows([("b", "c"), ("a", "b")], "src string, dst string"), "a", "c") == [("a", "b"), ("b", "c")]
+
+
+def test_a_long_way_is_followed_in_few_rounds(spark, rows, monkeypatch):
+    """1 000 pointers: ten rounds of two written tables at most, and nothing longer than a node in a row."""
+    written, cut = [], N.cut_lineage
+
+    def counted(df):
+        written.append(df.columns)
+        return cut(df)
+
+    monkeypatch.setattr(N, "cut_lineage", counted)
+    chain = rows([(i, i + 1) for i in range(1000)], "src long, dst long")
+    way = N._followed(rows([(0,)], "node long"), chain, 1000)
+    assert sorted((r.place, r.node) for r in way.collect()) == [(i, i) for i in range(1001)]
+    assert len(written) <= 20 and all(c in (["place", "node"], ["src", "dst"]) for c in written)
