@@ -2,6 +2,7 @@
 
 Vocabulary counting, fitting and scoring all run as Spark jobs; the driver only holds the
 vocabulary (bounded by its size parameter), the class names and the fitted parameters.
+Fitting counts n-grams once (:mod:`ngrams`) and writes count vectors, which all else reads.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import os
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import (
@@ -23,6 +25,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     IDF,
     CountVectorizer,
+    CountVectorizerModel,
     NGram,
     RegexTokenizer,
     SQLTransformer,
@@ -31,11 +34,11 @@ from pyspark.ml.feature import (
     StringIndexerModel,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.functions.distributed import cut_lineage, spread
+from inkstream.functions.distributed import cut_lineage, release, spread
+from inkstream.operators import ngrams
 from inkstream.operators.relational import top_predictions
 from inkstream.operators.windows import train_validation_split
 
@@ -150,21 +153,44 @@ def classification_report(predictions: DataFrame, label: str, predicted: str = "
     )
 
 
-def _fit(name: str, stages: list, train: DataFrame, test: DataFrame, text: str, label: str) -> FittedClassifier:
-    """``train`` and ``test`` hold words; the model starts from texts again."""
-    fitted = Pipeline(stages=stages).fit(train)
-    model = PipelineModel(stages=[fitted.stages[0], *word_stages(text), *fitted.stages[1:]])
-    scored = named_predictions(fitted.transform(test), fitted.stages[0].labels)
+def _fit(name: str, stages: list, table: DataFrame, text: str, label: str) -> FittedClassifier:
+    """``table`` holds words and the ``split`` of every row; the model starts from texts again."""
+    index = stages[0].fit(table.where("split = 'train'"))
+    part = F.when(F.col("split") == "train", 0).otherwise(1)
+    rows = index.transform(table).select(label, "_label", "split", "_n1", part.alias("_part"))
+    counter = _counter(stages)
+    (vocabulary,), grams, numbers = ngrams.vocabularies(
+        rows, "_n1", "_part", [[0]], _longest(stages), counter.getVocabSize(), counter.getMinDF(), counter.getMaxDF()
+    )
+    vectors = ngrams.count_vectors(numbers, grams, vocabulary, counter.getOutputCol())
+    release(numbers)
+    last = Pipeline(stages=stages[stages.index(counter) + 1 :]).fit(vectors.where("split = 'train'"))
+    counts = CountVectorizerModel.from_vocabulary(vocabulary, counter.getInputCol(), counter.getOutputCol())
+    model = PipelineModel(stages=[index, *word_stages(text), *stages[1 : stages.index(counter)], counts, *last.stages])
+    scored = named_predictions(last.transform(vectors.where("split = 'validation'")), index.labels)
     scored = cut_lineage(scored.select(label, "predicted"))
+    release(vectors)
     accuracy = scored.agg(F.avg((F.col("predicted") == F.col(label).cast("string")).cast("double"))).first()[0]
     return FittedClassifier(name, model, float(accuracy or 0.0), classification_report(scored, label))
 
 
-def _split_words(df: DataFrame, text: str, label: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """Training and hold-out words; only keys and labels go through the split."""
+def _counter(stages: list) -> CountVectorizer:
+    return next(s for s in stages if isinstance(s, CountVectorizer))
+
+
+def _longest(stages: list) -> int:
+    return max([s.getN() for s in stages if isinstance(s, NGram)], default=1)
+
+
+def _split_words(df: DataFrame, text: str, label: str, key: str) -> DataFrame:
+    """Words of all texts with their ``split``; only keys and labels go through the split.
+
+    Rows are dealt over a fixed number of tasks: a table that is small in bytes is much work, and would else come in a few.
+    """
     rows = df.select(key, text, label)
-    table = words(rows.join(split_tags(rows, label, key), key), text)
-    return table.where("split = 'train'"), table.where("split = 'validation'")
+    session = df.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return words(rows.repartition(tasks, key).join(split_tags(rows, label, key).repartition(tasks, key), key), text)
 
 
 def fit_document_classifier(
@@ -179,13 +205,13 @@ def fit_document_classifier(
     vocabulary: int = VOCABULARY,
 ) -> tuple[FittedClassifier, FittedClassifier]:
     """(better, other) of TF-IDF + random forest and counts + boosted trees by hold-out accuracy."""
-    train, test = _split_words(df, text, label, key)
+    table = _split_words(df, text, label, key)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=MIN_LEAF, seed=SEED)
     boosted = OneVsRest(
         classifier=GBTClassifier(maxIter=rounds, maxDepth=boost_depth, stepSize=BOOST_STEP, seed=SEED)
     )
-    a = _fit("tfidf", fit_stages(forest, label, 3, True, vocabulary), train, test, text, label)
-    b = _fit("count", fit_stages(boosted, label, 2, False, vocabulary), train, test, text, label)
+    a = _fit("tfidf", fit_stages(forest, label, 3, True, vocabulary), table, text, label)
+    b = _fit("count", fit_stages(boosted, label, 2, False, vocabulary), table, text, label)
     return (a, b) if a.accuracy >= b.accuracy else (b, a)
 
 
@@ -194,34 +220,44 @@ def fit_sentiment_classifier(
     iterations: int = ITERATIONS, vocabulary: int = VOCABULARY,
 ) -> FittedClassifier:
     """TF-IDF + L2 logistic regression; C = 1 is a penalty of 1 / rows."""
-    train, test = _split_words(df, text, label, key)
-    rows = max(train.count(), 1)
+    table = _split_words(df, text, label, key)
+    rows = max(table.where("split = 'train'").count(), 1)
     model = LogisticRegression(maxIter=iterations, regParam=1.0 / rows)
-    return _fit("sentiment", fit_stages(model, label, 3, True, vocabulary), train, test, text, label)
+    return _fit("sentiment", fit_stages(model, label, 3, True, vocabulary), table, text, label)
 
 
 def fit_language_detector(
     df: DataFrame, text: str = "text", label: str = "language", key: str = "document_id", vocabulary: int = VOCABULARY
 ) -> FittedClassifier:
     """Term counts + multinomial naive Bayes."""
-    train, test = _split_words(df, text, label, key)
+    table = _split_words(df, text, label, key)
     model = NaiveBayes(smoothing=SMOOTHING, modelType="multinomial")
-    return _fit("language", fit_stages(model, label, 2, False, vocabulary), train, test, text, label)
+    return _fit("language", fit_stages(model, label, 2, False, vocabulary), table, text, label)
 
 
 def cross_validate(stages: list, df: DataFrame, text: str, key: str, folds: int = FOLDS) -> DataFrame:
-    """Mean and standard deviation of the accuracy of ``fit_stages`` over hash folds."""
+    """Mean and standard deviation of the accuracy of ``fit_stages`` over hash folds.
+
+    n-grams are counted once, by fold; the vocabulary of each training set comes from all counts but its own fold's.
+    """
+    label, counter = stages[0].getInputCol(), _counter(stages)
     fold = F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(folds)).cast("int")
-    validator = CrossValidator(
-        estimator=Pipeline(stages=stages),
-        estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=MulticlassClassificationEvaluator(labelCol="_label", metricName="accuracy"),
-        numFolds=folds,
-        foldCol="_fold",
+    table = words(spread(df), text).where(F.col(label).isNotNull()).select(label, "_n1", fold.alias("_fold"))
+    sets = [[g for g in range(folds) if g != f] for f in range(folds)]
+    terms, grams, numbers = ngrams.vocabularies(
+        table, "_n1", "_fold", sets, _longest(stages), counter.getVocabSize(), counter.getMinDF(), counter.getMaxDF()
     )
-    fitted = validator.fit(words(spread(df), text).withColumn("_fold", fold))
+    evaluator = MulticlassClassificationEvaluator(labelCol="_label", metricName="accuracy")
+    accuracies = []
+    for f, vocabulary in enumerate(terms):
+        vectors = ngrams.count_vectors(numbers, grams, vocabulary, counter.getOutputCol())
+        last = Pipeline(stages=[stages[0], *stages[stages.index(counter) + 1 :]])
+        fitted = last.fit(vectors.where(F.col("_fold") != f))
+        accuracies.append(evaluator.evaluate(fitted.transform(vectors.where(F.col("_fold") == f))))
+        release(vectors)
+    release(numbers)
     return df.sparkSession.createDataFrame(
-        [(folds, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0]))],
+        [(folds, float(np.mean(accuracies)), float(np.std(accuracies)))],
         "folds int, mean_accuracy double, std_accuracy double",
     )
 
