@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType, VariantType
 
+from inkstream.functions.distributed import cut_lineage
+
+#: Bytes of rows in memory that one task sorts and writes, about.
+TASK_BYTES = 256 << 20
 ZONES = ("raw", "processed", "analytics")
 #: JSON keeps microseconds; Spark's default format would cut them to milliseconds.
 JSON_TIMES = {
@@ -27,6 +31,31 @@ def read_table(
     return reader.parquet(path)
 
 
+def _dealt(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows of equal ``cols`` together, in tasks of about ``TASK_BYTES`` however many rows a value has.
+
+    A task sorts what it writes, so sizes count as in memory: compressed shuffle bytes, which adaptive execution goes by, may be a
+    twentieth.  A first pass sums them by value, one row for each folder.
+    """
+    width = F.lit(16 * (len(df.columns) + 1)).cast("bigint")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            width = width + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType)):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
+    sizes = df.groupBy(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(cols)]).agg(F.sum(width).alias("_size"))
+    keys = [f"_p{i}" for i in range(len(cols))]
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut_lineage(sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))))
+    tasks = placed.agg(F.coalesce(F.ceil(F.sum("_size") / TASK_BYTES), F.lit(1))).first()[0]
+    on = F.lit(True)
+    for k, c in zip(keys, cols, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(c))
+    at = F.col("_before") + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_size"))
+    task = F.coalesce(F.floor(at / TASK_BYTES), F.lit(0)).cast("int")
+    return df.join(placed, on, "left").repartitionById(int(tasks), task).select(*df.columns)
+
+
 def write_table(
     df: DataFrame,
     path: str,
@@ -37,12 +66,12 @@ def write_table(
 ) -> None:
     """Store ``df`` as a columnar table; with ``name`` it is also registered in the catalog.
 
-    Rows are clustered by the partition columns first, and a rebalance hint lets AQE split
-    a partition value that holds much of the data into several files.
+    Rows are clustered by the partition columns first, and a partition value that holds much
+    of the data is split into several files.
     """
     out = df
     if partition_by:
-        out = df.hint("rebalance", *partition_by)
+        out = _dealt(df, partition_by)
     writer = out.write.format(fmt).mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -58,7 +87,7 @@ def write_zone(df: DataFrame, root: str, zone: str, date_col: str, dataset: str
         raise ValueError(f"zone must be one of {ZONES}")
     target = os.path.join(root, zone, dataset)
     dated = df.withColumn("date", F.to_date(date_col))
-    dated.hint("rebalance", "date").write.mode("append").partitionBy("date").options(**JSON_TIMES).json(target)
+    _dealt(dated, ["date"]).write.mode("append").partitionBy("date").options(**JSON_TIMES).json(target)
     return target
 
 
