@@ -207,9 +207,10 @@ def fit_document_classifier(
     """(better, other) of TF-IDF + random forest and counts + boosted trees by hold-out accuracy."""
     table = _split_words(df, text, label, key)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=MIN_LEAF, seed=SEED)
-    boosted = OneVsRest(
-        classifier=GBTClassifier(maxIter=rounds, maxDepth=boost_depth, stepSize=BOOST_STEP, seed=SEED)
-    )
+    boosted = GBTClassifier(maxIter=rounds, maxDepth=boost_depth, stepSize=BOOST_STEP, seed=SEED)
+    classes = table.where("split = 'train'").where(F.col(label).isNotNull()).select(label).distinct().limit(3).count()
+    if classes != 2:  # of two classes one against the other is the other against the one
+        boosted = OneVsRest(classifier=boosted)
     a = _fit("tfidf", fit_stages(forest, label, 3, True, vocabulary), table, text, label)
     b = _fit("count", fit_stages(boosted, label, 2, False, vocabulary), table, text, label)
     return (a, b) if a.accuracy >= b.accuracy else (b, a)

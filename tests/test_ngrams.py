@@ -74,3 +74,20 @@ def test_cross_validation_equals_fitting_every_fold(rows):
     ).fit(X.words(df, "text").withColumn("_fold", fold))
     got = X.cross_validate(stages, df, "text", "id", 3).first()
     assert (got.mean_accuracy, got.std_accuracy) == (pytest.approx(plain.avgMetrics[0]), pytest.approx(plain.stdMetrics[0]))
+
+
+def test_two_classes_are_boosted_once(rows):
+    """One model of trees for two classes; its classes are those of one model against the rest for each."""
+    rng = random.Random(3)
+    kinds = {"a": ["red", "green", "blue", "pink"], "b": ["pink", "iron", "tin", "blue"]}
+    data = [(i, " ".join(rng.choices(kinds["ab"[i % 2]], k=6)), "ab"[i % 2]) for i in range(150)]
+    df = rows(data, "document_id long, text string, document_type string")
+    found = X.fit_document_classifier(df, trees=3, depth=3, rounds=4, boost_depth=2, vocabulary=50)
+    once = next(f for f in found if f.name == "count").model
+    assert type(once.stages[-1]).__name__ == "GBTClassificationModel"
+    ready = PipelineModel(stages=once.stages[:-1]).transform(df)
+    trees = X.GBTClassifier(maxIter=4, maxDepth=2, stepSize=X.BOOST_STEP, seed=X.SEED)
+    train = ready.join(X.split_tags(df, "document_type", "document_id").where("split = 'train'"), "document_id")
+    each = X.OneVsRest(classifier=trees).setLabelCol("_label").setFeaturesCol("features").fit(train)
+    single = trees.setLabelCol("_label").setFeaturesCol("features").fit(train)
+    assert [r.prediction for r in each.transform(ready).orderBy("document_id").collect()] == [r.prediction for r in single.transform(ready).orderBy("document_id").collect()]
