@@ -15,11 +15,10 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import (
-    GBTClassifier,
+    GBTClassifier,  # noqa: F401  (what Boosted is compared with)
     LogisticRegression,
     NaiveBayes,
     OneVsRest,
-    RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
@@ -40,6 +39,7 @@ from pyspark.sql import functions as F
 from inkstream.functions.distributed import cut_lineage, release, spread
 from inkstream.operators import ngrams
 from inkstream.operators.relational import top_predictions
+from inkstream.operators.trees import Boosted, Forest
 from inkstream.operators.windows import train_validation_split
 
 # Sizes of the reference models.
@@ -206,8 +206,8 @@ def fit_document_classifier(
 ) -> tuple[FittedClassifier, FittedClassifier]:
     """(better, other) of TF-IDF + random forest and counts + boosted trees by hold-out accuracy."""
     table = _split_words(df, text, label, key)
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=MIN_LEAF, seed=SEED)
-    boosted = GBTClassifier(maxIter=rounds, maxDepth=boost_depth, stepSize=BOOST_STEP, seed=SEED)
+    forest = Forest(numTrees=trees, maxDepth=depth, minInstancesPerNode=MIN_LEAF, seed=SEED)
+    boosted = Boosted(maxIter=rounds, maxDepth=boost_depth, stepSize=BOOST_STEP, seed=SEED)
     classes = table.where("split = 'train'").where(F.col(label).isNotNull()).select(label).distinct().limit(3).count()
     if classes != 2:  # of two classes one against the other is the other against the one
         boosted = OneVsRest(classifier=boosted)
